@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import table
+from quillstone.llm.shared import new_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.tokenfiles import read_tokens, with_checksums, write_tokens
+
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path)
+    return with_checksums(read_tokens(spark, path))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -26,11 +26,15 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
 
 
 def store(df: DataFrame, name: str, **options) -> str:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of store() that nothing will read again."""
     jvm = spark.sparkContext._jvm
