@@ -21,6 +21,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.packing import Packing, pack
+
+    return pack(table(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.json")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.tokenfiles import read_tokens, with_checksums, write_tokens
 
