@@ -27,6 +27,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.json")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.decontam import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.tokenfiles import read_tokens, with_checksums, write_tokens
 
@@ -40,5 +47,19 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
+w AS (SELECT item_id, least(len(t), 10) AS n, array_to_string(t[i:i + least(len(t), 10) - 1], ' ') AS k FROM b, unnest(range(1, greatest(len(t) - 9, 1) + 1)) AS u(i) WHERE len(t) > 0),
+m AS (SELECT DISTINCT n FROM w),
+p AS (SELECT doc_id, i, m.n, array_to_string(t[i:i + m.n - 1], ' ') AS k FROM d, m, unnest(range(1, len(t) - m.n + 2)) AS u(i) WHERE len(t) >= m.n),
+f AS (SELECT p.doc_id, p.i, p.n, w.item_id FROM p JOIN w ON p.k = w.k AND p.n = w.n),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM f), unnest(range(i, i + n)) AS u(j) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}
