@@ -34,6 +34,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.tokenfiles import read_tokens, with_checksums, write_tokens
 
@@ -60,6 +66,21 @@ SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(t[i:i + 2], ' ')) AS k FROM d, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS u(i) WHERE len(t) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT s.doc_id, s.k, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.c, s.k) AS o FROM s JOIN (SELECT k, count(*) AS c FROM s GROUP BY k) f USING (k)),
+x AS (SELECT r.doc_id, r.k FROM r JOIN n USING (doc_id) WHERE o <= n - CAST(ceil(0.85 * n) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN s sa ON sa.doc_id = c.a JOIN s sb ON sb.doc_id = c.b AND sb.k = sa.k JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b
+  GROUP BY c.a, c.b, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+p AS (SELECT doc_id AS a, doc_id AS m FROM d UNION SELECT e.b, p.m FROM p JOIN e ON e.a = p.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, q.m AS component_id, d.doc_id = q.m AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(m) AS m FROM p GROUP BY a) q ON q.a = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op7_decontamination": OP7_SQL, "op9_minhash": OP9_SQL}
