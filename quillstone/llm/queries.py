@@ -21,6 +21,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.packing import Packing, pack
 
@@ -66,6 +72,17 @@ SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(t[i:i + 34], ' ')) AS k FROM d, unnest(range(1, len(t) - 33)) AS u(i) WHERE len(t) >= 35),
+r AS (SELECT w.doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT DISTINCT doc_id, j FROM r, unnest(range(i, i + 35)) AS u(j)),
+x AS (SELECT doc_id, j, t[j] AS word FROM d, unnest(range(1, len(t) + 1)) AS u(j)),
+k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.j WHERE g.j IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(t[i:i + 2], ' ')) AS k FROM d, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS u(i) WHERE len(t) > 0),
@@ -83,4 +100,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(m) AS m FROM p GROUP BY a)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op9_minhash": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_minhash": OP9_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,16 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again, and let Spark clean up the shuffles of finished steps."""
+    spark = SparkSession.getActiveSession()
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
