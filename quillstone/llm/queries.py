@@ -33,6 +33,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.json")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.langid import LanguageId, fit, predict
+
+    docs, p = table(spark, sf_dir, "documents"), LanguageId()
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = predict(docs, fit(docs.filter(~held_out), p), p)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.decontam import decontaminate
 
