@@ -33,6 +33,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.json")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.htmltext import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.langid import LanguageId, fit, predict
 
