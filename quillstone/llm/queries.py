@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import new_path, table
 
 
+TOXIC_SCORE = 0.7
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -27,6 +30,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.toxicity import Toxicity, fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = score(docs, fit(docs.filter(~held_out), labels.filter(~held_out), Toxicity()))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"), "n_windows")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.packing import Packing, pack
 
