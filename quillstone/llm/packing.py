@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from quillstone.llm.arrays import chunks, mix
 from quillstone.llm.shared import stored
-from quillstone.llm.tokens import piece_tokenizer
+from quillstone.llm.tokens import TOKENIZER_BYTES, piece_tokenizer
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, p: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_tokenizer(p.tokenizer)
         part, row = TaskContext.get().partitionId() << 33, 0
-        for rows in chunks(batches, "text"):
+        for rows in chunks(batches, "text", TOKENIZER_BYTES):
             ids, n = encoder.encode_ended(rows.column("text"))
             keys, raw, ends = document_keys(ids, n, p), memoryview(ids.astype("<u4").tobytes()), np.cumsum(n)
             if encoder.tokenizer.get_vocab_size() <= 1 << 16:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrays import chunks
-from quillstone.llm.tokens import piece_tokenizer
+from quillstone.llm.tokens import TOKENIZER_BYTES, piece_tokenizer
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, layout: TokenF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = piece_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        for rows in chunks(batches, "text"):
+        for rows in chunks(batches, "text", TOKENIZER_BYTES):
             ids, n = encoder.encode_ended(rows.column("text"))
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))

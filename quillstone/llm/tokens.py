@@ -18,13 +18,20 @@ import pyarrow.compute as pc
 from quillstone.llm.arrays import texts
 
 END_ID = 0
+#: Bytes of text that are encoded together: the more, the rarer is a word that is new to them.
+TOKENIZER_BYTES = 6 << 20
+#: A word of Latin letters, then ASCII marks other than the apostrophe: the pre-tokenizer cuts between the two.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)?([!-&(-/:-@\[-`{-~]+)?")
+#: The printable characters that stand for bytes 0 to 255 in a byte-level vocabulary.
+OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in OWN)}
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= )")
 
 
 class PieceTokenizer:
-    """Encodes columns of texts; keeps the ids of up to `cached` pieces."""
+    """Encodes columns of texts; keeps the ids of up to `cached` words."""
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,20 +39,32 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, a special token's string is ordinary text
+        self.model = self.tokenizer.model
         self.known: dict[str, list[int]] = {}
         self.cached = cached
 
+    def word(self, word: str) -> list[int]:
+        """Ids of what the pre-tokenizer leaves whole, straight from the library's BPE model."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin1").translate(BYTES))]
+            if len(self.known) < self.cached:
+                self.known[word] = ids
+        return ids
+
     def pieces(self, values: list[str]) -> list[list[int]]:
-        """Ids of each of the pieces."""
-        known = self.known
-        missing = [v for v in dict.fromkeys(values) if v not in known]
-        fresh: dict[str, list[int]] = {}
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            fresh |= {v: e.ids for v, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)}
-        out = [known[v] if v in known else fresh[v] for v in values]
-        if len(known) < self.cached:
-            known |= fresh
+        """Ids of each of the pieces; those that are not plain words go through the whole tokenizer."""
+        out, odd, plain = [], [], PLAIN.fullmatch
+        for i, v in enumerate(values):
+            m = plain(v)
+            if m is None:
+                odd.append(i)
+                out.append(None)
+            else:
+                a, b = m.groups()
+                out.append(self.word(a) + self.word(b) if a and b else self.word(a or b) if a or b else [])
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([values[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = e.ids
         return out
 
     def whole(self, text: str) -> list[int]:
