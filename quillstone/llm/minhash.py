@@ -155,7 +155,8 @@ def blocked(docs: DataFrame, members: DataFrame, p: NearDuplicates) -> DataFrame
     """cluster, i, j, block, doc_id, text: every document of a cluster, once for each pair of blocks that it is in."""
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.join(placed, docs["doc_id"] == placed["node"])
+    # Both sides are dealt by document at every size: the members grow with the corpus, so they are never broadcast.
+    texts = docs.join(placed.hint("merge"), docs["doc_id"] == placed["node"])
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return texts.select("cluster", "block", "doc_id", "text", others).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
 

@@ -87,9 +87,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksums(read_tokens(spark, path))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 OP7_SQL = r"""

@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.arrays import chunks, sha256, texts
+from quillstone.llm.arrays import chunks, texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -115,4 +115,7 @@ def redact(text: str, spans: str, mark: str = "[secret]") -> str:
     return "".join(out) + text[at:]
 
 
-__all__ = ["KINDS", "SecretScan", "encoding", "pattern_spans", "random_spans", "redact", "scan_secrets", "sha256"]
+def redacted(text: str, scan: SecretScan) -> str:
+    """The text without its secrets."""
+    base = pattern_spans(text)
+    return redact(text, joined(sorted(base + random_spans(text, base, scan))))

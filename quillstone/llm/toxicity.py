@@ -326,22 +326,24 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Network | float:
     return train(pa.array(rows.text, pa.string()), rows.toxic.to_numpy(), p, sizes[1] / (sizes[0] + sizes[1]))
 
 
+def text_scores(column: pa.Array, net: Network | float) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each text, and the number of its windows."""
+    if isinstance(net, float):
+        return np.full(len(column), net), np.ones(len(column), np.int64)
+    distinct, codes, offsets = encoded(column)
+    x = net.inputs(Vocabulary(distinct, net.p))
+    first, size, doc = windows(offsets, net.p)
+    logits = np.concatenate([np.zeros(0, np.float32), *(net.logits(x, cells(codes, first[at : at + 65536], size[at : at + 65536], len(distinct), net.p)) for at in range(0, len(first), 65536))])
+    worst = np.maximum.reduceat(logits, np.searchsorted(doc, np.arange(len(column)))).astype(np.float64)
+    return sigmoid(net.scale * worst + net.shift), np.bincount(doc, minlength=len(column))
+
+
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """doc_id, text -> doc_id, score (0 to 1), n_windows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
         for part in chunks(batches, "text"):
-            if isinstance(net, float):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([net] * part.num_rows), pa.array([1] * part.num_rows, pa.int64())], ["doc_id", "score", "n_windows"])
-                continue
-            distinct, codes, offsets = encoded(part.column("text"))
-            x = net.inputs(Vocabulary(distinct, net.p))
-            first, size, doc = windows(offsets, net.p)
-            logits = np.concatenate([np.zeros(0, np.float32), *(net.logits(x, cells(codes, first[at : at + 65536], size[at : at + 65536], len(distinct), net.p)) for at in range(0, len(first), 65536))])
-            begin = np.searchsorted(doc, np.arange(part.num_rows))
-            worst = np.maximum.reduceat(logits, begin).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigmoid(net.scale * worst + net.shift)), pa.array(np.bincount(doc, minlength=part.num_rows))], ["doc_id", "score", "n_windows"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, text_scores(part.column("text"), held.value))], ["doc_id", "score", "n_windows"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_windows long")
