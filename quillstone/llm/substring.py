@@ -190,6 +190,11 @@ def _joined(w: _Windows, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
+def _blanked(column: pa.Array, blank: np.ndarray) -> pa.Array:
+    """The column, null where `blank`."""
+    return column.take(pa.array(np.arange(len(column)), mask=blank))
+
+
 def _lists(column: pa.Array) -> np.ndarray:
     return np.unique(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
 
@@ -204,7 +209,7 @@ def split_off(docs: DataFrame, repeated: DataFrame, p: SubstringDedup) -> DataFr
             whole = pc.binary_join(lists, " ").to_pylist()
             done = pc.is_null(part.column("common"))
             sums = [sha256(t) if d else None for t, d in zip(whole, done.to_pylist(), strict=True)]
-            text = pc.if_else(done, pa.scalar(None, pa.string()), part.column("text"))
+            text = _blanked(part.column("text"), done.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.string()), text, part.column("common"), part.column("hot")], [*KEY, "n_words", "kept_sha256", "text", "common", "hot"])
 
     return docs.join(repeated, list(KEY), "left").mapInArrow(run, "doc_id long, text_hash long, n_words long, kept_sha256 string, text string, common array<long>, hot array<long>")
@@ -228,7 +233,7 @@ def distinct_segments(rows: DataFrame, p: SubstringDedup) -> DataFrame:
             times = np.diff(np.concatenate([at, [len(key)]]))
             key, one, two, begin, count = (x[at] for x in (key, one, two, begin, count))
             is_hot = np.isin(w.anchor[begin], hot)
-            text = pc.if_else(pa.array(is_hot), pa.scalar(None, pa.string()), _joined(w, begin, np.where(is_hot, 0, count + p.window - 1)))
+            text = _blanked(_joined(w, begin, np.where(is_hot, 0, count + p.window - 1)), is_hot)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one), pa.array(two), pa.array(times, pa.int64()), text], ["key", "one", "two", "times", "words"])
 
     return rows.mapInArrow(run, "key long, one long, two long, times long, words string")
