@@ -2,10 +2,482 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.functions import similarity as sim
+from quillstone.functions import text
+from quillstone.operators import audit, decide, groups, metrics, pairs, retrieval
+from quillstone.plans import oracles as o
+from quillstone.sources.records import Linkage, id_lists, long_truth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Context:
+    """The linkage tables of a folder and what several queries derive from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        t = Linkage(spark, sf_dir)
+        self.raw_s1, self.raw_pool, self.truth = t.s1, t.pool, t.truth
+        self.raw = t.s1.unionAll(t.pool)
+        self.s1, self.pool, self.all = text.normalised(t.s1), text.normalised(t.pool), text.normalised(self.raw)
+        self.p = retrieval.Retrieval()
+
+    @property
+    def weights(self) -> DataFrame:
+        return retrieval.key_weights(retrieval.block_keys(self.pool), self.pool, self.p)
+
+    @property
+    def scores(self) -> DataFrame:
+        return retrieval.candidate_scores(retrieval.block_keys(self.s1), retrieval.block_keys(self.pool), self.weights)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return retrieval.with_ranks(self.scores)
+
+    @property
+    def candidates(self) -> DataFrame:
+        return retrieval.candidates(self.s1, self.pool, self.p)
+
+    @property
+    def scored(self) -> DataFrame:
+        """Candidates with a probability in closed form, and their labels."""
+        p = F.round(0.02 + 0.96 * F.col("bscore_norm"), 6)
+        return metrics.labelled(self.candidates.select("s1_id", "cand_id", p.alias("p")), self.truth)
+
+    @property
+    def counts(self) -> DataFrame:
+        return metrics.truth_counts(self.s1, self.truth)
+
+    @property
+    def selected(self) -> DataFrame:
+        return decide.apply_decision(self.scored, decide.Decision("threshold", 0.5, exclusive=True))
+
+    @property
+    def joined(self) -> DataFrame:
+        return pairs.joined(self.candidates, self.s1, self.pool)
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _over(cte: str, body: str) -> str:
+    return f"WITH RECURSIVE {cte} {body}"
+
+
+# Text rules.
+
+
+def _column(name: str, expression, body: str, column: str) -> None:
+    def f(c: Context) -> DataFrame:
+        return c.all.select("entity_id", expression().alias(column))
+
+    f.__name__ = name
+    query(_over(o.NORM, f"SELECT entity_id, {body} AS {column} FROM norm"))(f)
+
+
+_column("norm_name_full", lambda: F.col("name_full"), "name_full", "name_full")
+_column("norm_name_core", lambda: F.col("name_core"), "name_core", "name_core")
+_column("name_skeleton", lambda: F.col("name_skel"), "name_skel", "name_skel")
+_column("addr_tokens_norm", lambda: F.col("addr"), "addr", "addr")
+_column("postcode_extract", lambda: F.col("postcode"), "postcode", "postcode")
+_column("addr_numbers", lambda: F.col("addr_nums"), "addr_nums", "addr_nums")
+_column("house_number", lambda: text.house_number(F.col("addr")), r"nullif(regexp_extract(addr, '\b(\d+)', 1), '')", "hn")
+_column("city_extract", lambda: text.city(F.col("business_address")), r"trim(regexp_replace(lower(coalesce(list_extract(string_split(business_address, ','), -2), '')), '\d', '', 'g'))", "city")
+_column("name_initials", lambda: text.initials(F.col("name_core")), "array_to_string(list_transform(nt, lambda t: substr(t, 1, 1)), '')", "initials")
+_column("compact_name", lambda: text.compact(F.col("name_core")), "replace(name_core, ' ', '')", "cc")
+_column("unleet_tokens", lambda: F.array_join(F.transform(text.tokens(text.without_web(F.trim(text.to_ascii(F.col("business_name"))))), text.unleet), " "), "array_to_string(clear_tokens, ' ')", "tokens")
+_column("join_initials", lambda: text.join_initials(F.array_join(F.transform(text.tokens(text.without_web(F.trim(text.to_ascii(F.col("business_name"))))), text.unleet), " ")), "array_to_string(joined_tokens, ' ')", "tokens")
+
+
+@query()
+def transliterated_names(c: Context) -> DataFrame:
+    return c.raw.select("entity_id", text.transliterate("business_name").alias("ascii_name"))
+
+
+# Retrieval.
+
+
+@query(_over(o.KEYS, "SELECT entity_id, ktype, kval, CAST(w AS DOUBLE) AS w, CAST(ch AS BIGINT) AS ch FROM allkeys"))
+def block_keys(c: Context) -> DataFrame:
+    return retrieval.block_keys(c.all).select("entity_id", "ktype", "kval", F.col("w").cast("double").alias("w"), F.col("ch").cast("long").alias("ch"))
+
+
+@query(_over(o.INDEX, "SELECT country_n, ktype, kval, df FROM dfs"))
+def key_df(c: Context) -> DataFrame:
+    return retrieval.document_frequencies(retrieval.block_keys(c.pool))
+
+
+@query(_over(o.INDEX, "SELECT country_n, ktype, kval, df, CAST(idf AS DOUBLE) AS idf FROM weights"))
+def key_idf_pruned(c: Context) -> DataFrame:
+    return c.weights.withColumn("idf", F.col("idf").cast("double"))
+
+
+@query(_over(o.INDEX, "SELECT * FROM scores"))
+def candidate_scores(c: Context) -> DataFrame:
+    return c.scores
+
+
+@query(_over(o.INDEX, "SELECT s1_id, cand_id, brank, brank_name, brank_addr FROM ranked"))
+def candidate_channel_ranks(c: Context) -> DataFrame:
+    return c.ranked.select("s1_id", "cand_id", "brank", "brank_name", "brank_addr")
+
+
+@query(_over(o.CANDIDATES, "SELECT * FROM kept"))
+def candidate_topk(c: Context) -> DataFrame:
+    return retrieval.three_channel_top_k(c.ranked, c.p)
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, bscore_norm, bname_norm, baddr_norm FROM cands"))
+def candidate_norm_scores(c: Context) -> DataFrame:
+    return c.candidates.select("s1_id", "cand_id", "bscore_norm", "bname_norm", "baddr_norm")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, rr_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY bscore_norm DESC, cand_id) AS rr_rank FROM cands) WHERE rr_rank <= 8 AND (rr_rank <= 3 OR bscore_norm >= 0.4)"))
+def adaptive_topk(c: Context) -> DataFrame:
+    return retrieval.adaptive_top_k(c.candidates, "bscore_norm", 8, 3, 0.4).select("s1_id", "cand_id", "rr_rank")
+
+
+@query(_over(o.CANDIDATES, "SELECT count(*) AS n_true, count(*) FILTER (brank <= 1) AS within_1, count(*) FILTER (brank <= 3) AS within_3, count(*) FILTER (brank <= 10) AS within_10, count(*) FILTER (brank <= 100000) AS within_100000 FROM truth LEFT JOIN ranked USING (s1_id, cand_id)"))
+def missed_pair_ranks(c: Context) -> DataFrame:
+    return retrieval.missed_ranks(c.ranked, c.truth, [1, 3, 10, 100000])
+
+
+@query(_over(o.CANDIDATES, "SELECT CAST(kmin AS BIGINT) AS kmin, CAST(tau AS DOUBLE) AS tau, count(*) FILTER (r <= kmin OR bscore_norm >= tau) AS n_cands, count(*) FILTER ((r <= kmin OR bscore_norm >= tau) AND label = 1) AS n_true FROM (SELECT c.*, label, row_number() OVER (PARTITION BY s1_id ORDER BY bscore_norm DESC, cand_id) AS r FROM cands c LEFT JOIN truth USING (s1_id, cand_id)), (VALUES (1), (3), (5)) k(kmin), (VALUES (0.1), (0.3), (0.5)) t(tau) GROUP BY kmin, tau"))
+def prune_sweep(c: Context) -> DataFrame:
+    return retrieval.prune_sweep(c.candidates, "bscore_norm", [1, 3, 5], [0.1, 0.3, 0.5], c.truth)
+
+
+@query(_over(o.CANDIDATES, "SELECT (SELECT count(*) FROM truth) AS n_true, (SELECT count(*) FROM truth JOIN cands USING (s1_id, cand_id)) AS n_found, (SELECT count(*) FROM cands) AS n_cands"))
+def block_recall(c: Context) -> DataFrame:
+    return retrieval.block_recall(c.candidates, c.truth)
+
+
+# Similarities: over the names of each record's best candidate.
+BEST = "best AS (SELECT s1_id, cand_id, {x} AS x, {y} AS y FROM pairs WHERE brank = 1),"
+
+
+def _similarity(name: str, f, field: str, body: str, cte: str = "") -> None:
+    def run(c: Context) -> DataFrame:
+        rows = c.joined.filter("brank = 1")
+        return rows.select("s1_id", "cand_id", F.round(f(F.col(f"{field}_1"), F.col(f"{field}_2")), 6).alias(name))
+
+    run.__name__ = name
+    query(_over(f"{o.CANDIDATES}, {cte}", body) if body else None)(run)
+
+
+_similarity("sim_indel", sim.sim_ratio, "name_core", "SELECT b.s1_id, b.cand_id, round(CAST(ratio AS DOUBLE), 6) AS sim_indel FROM best b JOIN l USING (x, y)", BEST.format(x="c1", y="c2") + o.lcs_ratio("best"))
+_SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda t: t <> '')), ' ')"
+_similarity("sim_token_sort", sim.sim_token_sort, "name_full", "SELECT b.s1_id, b.cand_id, round(CAST(ratio AS DOUBLE), 6) AS sim_token_sort FROM best b JOIN l USING (x, y)", BEST.format(x=_SORTED.format("f1"), y=_SORTED.format("f2")) + o.lcs_ratio("best"))
+_similarity("sim_jaro_winkler", sim.sim_jaro_winkler, "name_core", "SELECT s1_id, cand_id, round(jaro_winkler_similarity(x, y), 6) AS sim_jaro_winkler FROM best", BEST.format(x="c1", y="c2").rstrip(","))
+_similarity("sim_token_set", sim.sim_token_set, "name_full", "")
+_similarity("sim_partial", sim.sim_partial, "name_core", "")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, CASE WHEN u1 <> '' AND u2 <> '' THEN round(len(list_intersect(string_split(u1, ' '), string_split(u2, ' '))) / len(list_distinct(list_concat(string_split(u1, ' '), string_split(u2, ' ')))), 6) ELSE 0.0 END AS sim_jaccard FROM pairs"))
+def sim_jaccard(c: Context) -> DataFrame:
+    return c.joined.select("s1_id", "cand_id", F.round(sim.jaccard(text.words(F.col("addr_nums_1")), text.words(F.col("addr_nums_2"))), 6).alias("sim_jaccard"))
+
+
+# Features.
+
+
+@query(_over(o.NORM, "SELECT country_n, name_core, count(*) FILTER (src <> 'S1') AS n_pool, count(*) FILTER (src = 'S1') AS n_s1 FROM norm GROUP BY country_n, name_core"))
+def name_counts(c: Context) -> DataFrame:
+    return pairs.name_counts(c.pool, "n_pool").join(pairs.name_counts(c.s1, "n_s1"), ["country_n", "name_core"], "full").na.fill(0)
+
+
+@query(_over(o.NORM, "SELECT country_n, token, df FROM (SELECT country_n, token, count(DISTINCT entity_id) AS df FROM norm, unnest(adt) u(token) WHERE src = 'S1' AND NOT regexp_matches(token, '[0-9]') GROUP BY ALL) JOIN (SELECT country_n, count(*) AS n FROM norm WHERE src = 'S1' GROUP BY country_n) USING (country_n) WHERE df >= greatest(20.0, 0.002 * n)"))
+def addr_stop_tokens(c: Context) -> DataFrame:
+    return pairs.address_stop_tokens(c.s1)
+
+
+@query(_over(o.NORM, "SELECT DISTINCT country_n, token FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src = 'S1' AND token <> ''"))
+def name_vocab(c: Context) -> DataFrame:
+    return pairs.name_vocabulary(c.s1)
+
+
+@query(_over(o.NORM + ", v AS (SELECT DISTINCT country_n, token, 1 AS k FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src = 'S1' AND token <> '')", "SELECT entity_id, round(count(*) FILTER (k IS NULL) / count(*), 6) AS c_oov_frac FROM (SELECT entity_id, country_n, token FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src <> 'S1' AND token <> '') LEFT JOIN v USING (country_n, token) GROUP BY entity_id"))
+def oov_fraction(c: Context) -> DataFrame:
+    return pairs.unknown_share(c.pool, pairs.name_vocabulary(c.s1))
+
+
+def _flag(e: str) -> str:
+    return f"CAST(coalesce({e}, false) AS INT)"
+
+
+@query(_over(o.CANDIDATES, f"SELECT s1_id, cand_id, {_flag("string_split(c1, ' ')[1] = string_split(c2, ' ')[1]")} AS nc_first_eq, {_flag("z1 = z2 AND z1 <> ''")} AS pc_eq, {_flag("z1 <> '' AND z2 <> ''")} AS pc_both, {_flag("u1 <> '' AND u2 <> ''")} AS num_both, length(f1) AS len_name_s1, length(f2) AS len_name_c, length(a1) AS len_addr_s1, length(a2) AS len_addr_c, {_flag("a1 = '' OR a2 = ''")} AS addr_empty_any, {_flag("src2 = 'S3'")} AS is_s3, {_flag("y1 = y2")} AS same_country FROM pairs"))
+def pair_flags(c: Context) -> DataFrame:
+    return pairs.exact_features(c.joined).select("s1_id", "cand_id", "nc_first_eq", "pc_eq", "pc_both", "num_both", "len_name_s1", "len_name_c", "len_addr_s1", "len_addr_c", "addr_empty_any", "is_s3", "same_country")
+
+
+_LEGAL = "list_distinct(list_filter(string_split({}, ' '), lambda t: list_contains([" + o.LEGAL_SET + "], t)))"
+
+
+@query(_over(o.CANDIDATES, f"SELECT s1_id, cand_id, {_flag('len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) = len(x) AND len(x) = len(y)')} AS legal_eq, {_flag('len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) = 0')} AS legal_conflict FROM (SELECT s1_id, cand_id, {_LEGAL.format('f1')} AS x, {_LEGAL.format('f2')} AS y FROM pairs)"))
+def legal_agreement(c: Context) -> DataFrame:
+    return pairs.exact_features(c.joined).select("s1_id", "cand_id", "legal_eq", "legal_conflict")
+
+
+@query(_over(o.CANDIDATES, f"SELECT s1_id, cand_id, {_flag('h1 = h2')} AS hn_eq, {_flag('h1 IS NOT NULL AND h2 IS NOT NULL')} AS hn_both, {_flag('h1 <> h2 AND (starts_with(h1, h2) OR starts_with(h2, h1))')} AS hn_prefix FROM pairs"))
+def house_number_relation(c: Context) -> DataFrame:
+    return pairs.exact_features(c.joined).select("s1_id", "cand_id", "hn_eq", "hn_both", "hn_prefix")
+
+
+@query(_over(o.CANDIDATES, f"SELECT s1_id, cand_id, {_flag('length(i) >= 2 AND length(i) < length(c1) AND starts_with(k, i)')} AS init_pref FROM (SELECT *, array_to_string(list_transform(list_filter(string_split(c1, ' '), lambda t: t <> ''), lambda t: substr(t, 1, 1)), '') AS i, replace(c2, ' ', '') AS k FROM pairs)"))
+def initials_prefix(c: Context) -> DataFrame:
+    return pairs.exact_features(c.joined).select("s1_id", "cand_id", "init_pref")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, count(*) OVER (PARTITION BY s1_id) AS n_cands, round(max(bscore) OVER (PARTITION BY s1_id) - bscore, 6) AS bscore_gap_top FROM cands"))
+def group_gaps(c: Context) -> DataFrame:
+    rows = pairs.group_features(c.candidates.withColumns({"hn_eq": F.lit(0), "hn_both": F.lit(0), "nc_tset": F.lit(0.0)}), gaps=("bscore",), ranks=())
+    return rows.select("s1_id", "cand_id", "n_cands", "bscore_gap_top")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, rank() OVER (PARTITION BY s1_id ORDER BY bname_norm DESC NULLS LAST) + (count(*) OVER (PARTITION BY s1_id, bname_norm) - 1) / 2.0 AS avg_rank FROM cands WHERE bname_norm IS NOT NULL"))
+def group_average_ranks(c: Context) -> DataFrame:
+    rows = c.candidates.withColumn("avg_rank", pairs.average_rank("bname_norm"))
+    return rows.filter("avg_rank IS NOT NULL").select("s1_id", "cand_id", F.col("avg_rank").cast("double").alias("avg_rank"))
+
+
+@query(_over(o.CANDIDATES, f"SELECT s1_id, cand_id, CAST(sum(e) OVER w AS BIGINT) AS n_hn_eq_s1, CAST(coalesce(max(CASE WHEN e = 1 AND z = 1 THEN 1 ELSE 0 END) OVER w = 1 AND e = 0 AND b = 1, false) AS INT) AS twin_better FROM (SELECT s1_id, cand_id, {_flag('h1 = h2')} AS e, {_flag('h1 IS NOT NULL AND h2 IS NOT NULL')} AS b, {_flag("z1 = z2 AND z1 <> ''")} AS z FROM pairs) WINDOW w AS (PARTITION BY s1_id)"))
+def twin_better(c: Context) -> DataFrame:
+    rows = pairs.exact_features(c.joined).withColumn("nc_tset", F.when(F.col("pc_eq") == 1, 100.0).otherwise(0.0))
+    return pairs.group_features(rows, gaps=(), ranks=()).select("s1_id", "cand_id", "n_hn_eq_s1", "twin_better")
+
+
+@query(_over(o.CANDIDATES, "SELECT a.s1_id, a.cand_id, count(b.h2) AS n_anc_hn, CASE WHEN count(b.h2) > 0 THEN round(count(*) FILTER (b.h2 = a.h2) / count(b.h2), 6) END AS hn_vote FROM pairs a JOIN pairs b ON a.s1_id = b.s1_id AND b.brank <= 3 AND b.cand_id <> a.cand_id GROUP BY a.s1_id, a.cand_id"))
+def anchor_votes(c: Context) -> DataFrame:
+    return pairs.anchor_votes(pairs.exact_features(c.joined))
+
+
+@query()
+def pair_features_full(c: Context) -> DataFrame:
+    return pairs.build_features(c.candidates, c.s1, c.pool)
+
+
+@query()
+def rerank_similarities(c: Context) -> DataFrame:
+    return pairs.rerank_similarities(c.candidates, c.s1, c.pool).select("s1_id", "cand_id", "r_cc_ratio", "r_nf_partial", "r_ad_tset", "r_nc_tset", "r_hn_eq")
+
+
+# Decisions and evaluation.
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, p FROM scored WHERE p >= 0.5"))
+def decide_threshold(c: Context) -> DataFrame:
+    return decide.threshold(c.scored, 0.5).select("s1_id", "cand_id", "p")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, p FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) AS r FROM scored) WHERE p >= 0.6 OR (r = 1 AND p >= 0.3)"))
+def decide_top1(c: Context) -> DataFrame:
+    return decide.threshold_or_best(c.scored, 0.6, 0.3).select("s1_id", "cand_id", "p")
+
+
+@query(_over(o.CANDIDATES + """, e1 AS (SELECT s1_id, cand_id, p, row_number() OVER o AS m, CAST(sum(CAST(p AS DECIMAL(9,6))) OVER (o ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS tp, CAST(sum(CAST(p AS DECIMAL(9,6))) OVER w AS DOUBLE) AS k, CAST(sum(CAST(round(ln(greatest(1 - p, 1e-6)), 9) AS DECIMAL(18,9))) OVER w AS DOUBLE) AS lp FROM scored WHERE p >= 0.02 WINDOW w AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY p DESC, cand_id)),
+e2 AS (SELECT *, round(1.25 * tp / (0.25 * (k + 0.1) + m), 9) AS f FROM e1), e3 AS (SELECT *, max(f) OVER (PARTITION BY s1_id) AS best FROM e2), e4 AS (SELECT s1_id, min(m) AS best_m FROM e3 WHERE f = best GROUP BY s1_id)""", "SELECT s1_id, cand_id, p FROM e3 JOIN e4 USING (s1_id) WHERE best > exp(lp - 0.1) AND m <= best_m"))
+def decide_expected_f(c: Context) -> DataFrame:
+    return decide.apply_decision(c.scored, decide.Decision("expected_f", 0.1)).select("s1_id", "cand_id", "p")
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, p FROM excl"))
+def decide_exclusive(c: Context) -> DataFrame:
+    return decide.exclusive(c.scored.filter("p >= 0.02")).select("s1_id", "cand_id", "p")
+
+
+_MACRO = "count(*) AS n_s1, round(CAST(sum(CAST(f AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS f05, round(sum(tp) / greatest(sum(n_pred), 1), 6) AS precision, round(sum(tp) / greatest(sum(n_true), 1), 6) AS recall"
+
+
+@query(_over(o.CANDIDATES, f"SELECT {_MACRO} FROM perone"))
+def macro_f05(c: Context) -> DataFrame:
+    return metrics.macro_f05(c.selected, c.counts)
+
+
+@query(_over(o.CANDIDATES, f"SELECT country_n, {_MACRO} FROM perone GROUP BY country_n"))
+def f05_by_country(c: Context) -> DataFrame:
+    return metrics.macro_f05(c.selected, c.counts, "country_n")
+
+
+@query(_over(o.CANDIDATES, "SELECT round(CAST(sum(CAST(CAST(f AS DECIMAL(18,9)) * w AS DECIMAL(28,13))) AS DOUBLE) / CAST(sum(w) AS DOUBLE), 6) AS f05 FROM (SELECT f, CAST(CASE WHEN country_n = 'us' THEN 2 ELSE 1 END AS DECIMAL(9,4)) AS w FROM perone)"))
+def weighted_f05(c: Context) -> DataFrame:
+    return metrics.weighted_f05(c.selected, c.counts, F.when(F.col("country_n") == "us", 2).otherwise(1))
+
+
+_GRID = """, grid AS (SELECT CAST(t AS DOUBLE) AS t FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.7)) v(t)), both_rules AS (SELECT s1_id, p, label, false AS excl FROM scored UNION ALL SELECT s1_id, p, label, true FROM excl),
+gp AS (SELECT excl, t, s1_id, count(*) AS n_pred, sum(label) AS tp FROM both_rules JOIN grid ON p >= t GROUP BY ALL),
+gf AS (SELECT r.excl, t, c.s1_id, CASE WHEN n_true = 0 AND n_pred IS NULL THEN 1.0 WHEN n_pred IS NULL THEN 0.0 ELSE round(1.25 * tp / (0.25 * n_true + n_pred), 9) END AS f FROM (VALUES (false), (true)) r(excl), grid, counts c LEFT JOIN gp ON gp.s1_id = c.s1_id AND gp.t = grid.t AND gp.excl = r.excl),
+gt AS (SELECT excl, t, round(CAST(sum(CAST(f AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS f05 FROM gf GROUP BY ALL)"""
+_TS = [0.3, 0.4, 0.5, 0.6, 0.7]
+
+
+@query(_over(o.CANDIDATES + _GRID.replace("gt.t", "t").replace("SELECT r.excl, t,", "SELECT r.excl, grid.t,"), "SELECT excl, t, f05 FROM gt"))
+def tune_grid(c: Context) -> DataFrame:
+    return decide.tune_grid(c.scored, c.counts, _TS)
+
+
+@query(_over(o.CANDIDATES + _GRID.replace("SELECT r.excl, t,", "SELECT r.excl, grid.t,"), "SELECT excl, min(t) AS t, f05 FROM gt JOIN (SELECT excl, max(f05) AS f05 FROM gt GROUP BY excl) USING (excl, f05) GROUP BY excl, f05"))
+def tuned_rules(c: Context) -> DataFrame:
+    return decide.best_rules(decide.tune_grid(c.scored, c.counts, _TS))
+
+
+@query(_over(o.CANDIDATES + """, pc AS (SELECT country_n, s1_id, p FROM excl JOIN counts USING (s1_id)), ns AS (SELECT country_n, count(*) AS n FROM counts GROUP BY country_n),
+ks AS (SELECT country_n, t, count(*) AS k FROM pc, (SELECT round(0.5 + 0.005 * i, 6) AS t FROM range(0, 99) r(i)) g WHERE p >= t GROUP BY ALL),
+tg AS (SELECT sum(k) / sum(n) AS target FROM ks JOIN ns USING (country_n) WHERE country_n IN ('us', 'india') AND t = 0.5),
+gap AS (SELECT country_n, t, round(abs(k / n - target), 9) AS d FROM ks JOIN ns USING (country_n), tg WHERE country_n NOT IN ('us', 'india'))""", "SELECT country_n, CAST(0.5 AS DOUBLE) AS t FROM ns WHERE country_n IN ('us', 'india') UNION ALL SELECT country_n, CAST(min(t) AS DOUBLE) FROM gap JOIN (SELECT country_n, min(d) AS d FROM gap GROUP BY country_n) USING (country_n, d) GROUP BY country_n"))
+def shape_matched(c: Context) -> DataFrame:
+    rows = decide.exclusive(c.scored.filter("p >= 0.02")).join(c.counts.select("s1_id", "country_n"), "s1_id")
+    return decide.shape_matched(rows, c.s1, 0.5, ["us", "india"])
+
+
+_CITY = r"trim(regexp_replace(lower(coalesce(list_extract(string_split(business_address, ','), -2), '')), '\d', '', 'g'))"
+_BLOCKS = f", b0 AS (SELECT entity_id, country_n, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 1) AS b1, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 3) AS b3 FROM norm WHERE src = 'S1'), blocks AS (SELECT entity_id, country_n, CASE WHEN count(*) OVER (PARTITION BY b1) > 20 THEN b3 ELSE b1 END AS block FROM b0)"
+
+
+@query(_over(o.NORM + _BLOCKS, "SELECT * FROM blocks"))
+def s1_blocks(c: Context) -> DataFrame:
+    return groups.s1_blocks(c.s1, 20)
+
+
+@query(_over(o.NORM + _BLOCKS + ", z AS (SELECT block, count(*) AS n FROM blocks GROUP BY block HAVING count(*) <= 15), r AS (SELECT block, sum(n) OVER (ORDER BY md5(block), block ROWS UNBOUNDED PRECEDING) AS s FROM z)", "SELECT entity_id, CASE WHEN s <= 300 THEN 'val' ELSE 'train' END AS part FROM blocks LEFT JOIN r USING (block)"))
+def block_split(c: Context) -> DataFrame:
+    return groups.block_split(groups.s1_blocks(c.s1, 20), 15, 300)
+
+
+@query(_over(o.CANDIDATES, "SELECT * FROM counts"))
+def truth_counts(c: Context) -> DataFrame:
+    return c.counts
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, label FROM scored"))
+def label_candidates(c: Context) -> DataFrame:
+    return c.scored.select("s1_id", "cand_id", "label")
+
+
+@query(_over(o.CANDIDATES, "SELECT CASE WHEN c.s1_id IS NULL THEN 'block_miss' WHEN label = 1 AND s.p IS NOT NULL THEN 'tp' WHEN label = 1 THEN 'model_fn' WHEN s.p IS NOT NULL THEN 'fp' ELSE 'tn' END AS bucket, count(*) AS n FROM (SELECT s1_id, cand_id FROM cands) c FULL JOIN truth t ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id LEFT JOIN selected s ON s.s1_id = c.s1_id AND s.cand_id = c.cand_id GROUP BY 1".replace("label = 1 AND", "t.label = 1 AND").replace("WHEN label = 1 THEN", "WHEN t.label = 1 THEN")))
+def loss_buckets(c: Context) -> DataFrame:
+    return metrics.loss_buckets(c.candidates, c.selected, c.truth)
+
+
+_CASES = ", cases AS (SELECT 'as_is' AS what, s1_id, label FROM selected UNION ALL SELECT 'no_fp', s1_id, label FROM selected WHERE label = 1 UNION ALL SELECT 'no_fn', s1_id, label FROM selected UNION ALL SELECT w, s1_id, label FROM (SELECT scored.* FROM scored ANTI JOIN selected USING (s1_id, cand_id) WHERE label = 1), (VALUES ('no_fn'), ('perfect_model')) v(w) UNION ALL SELECT 'perfect_model', s1_id, label FROM selected WHERE label = 1)"
+
+
+@query(_over(o.CANDIDATES + _CASES, "SELECT what, round(CAST(sum(CAST(CASE WHEN n_true = 0 AND n IS NULL THEN 1.0 ELSE round(1.25 * coalesce(tp, 0) / greatest(0.25 * n_true + coalesce(n, 0), 1e-9), 9) END AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS f05 FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts LEFT JOIN (SELECT what, s1_id, count(*) AS n, sum(label) AS tp FROM cases GROUP BY ALL) x USING (what, s1_id) GROUP BY what".replace("FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts LEFT JOIN", "FROM (SELECT * FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts) LEFT JOIN")))
+def loss_ablation(c: Context) -> DataFrame:
+    return metrics.loss_ablation(c.scored, c.selected, c.counts)
+
+
+@query(_over(o.CANDIDATES, "SELECT CASE WHEN t.cand_id IS NULL THEN 'distractor' ELSE 'other_s1' END AS origin, count(*) AS n FROM selected s LEFT JOIN (SELECT DISTINCT cand_id FROM truth) t USING (cand_id) WHERE s.label = 0 GROUP BY 1"))
+def fp_origin(c: Context) -> DataFrame:
+    return metrics.fp_origin(c.selected, c.truth)
+
+
+@query(_over(o.CANDIDATES, "SELECT * FROM (SELECT s1_id, cand_id, round((CAST(sum(CAST(p AS DECIMAL(9,6))) AS DOUBLE) + 0.01 * (2 - count(*))) / 2, 9) AS p FROM (SELECT s1_id, cand_id, p FROM scored UNION ALL SELECT s1_id, cand_id, p FROM excl) GROUP BY s1_id, cand_id) WHERE p >= 0.02"))
+def ensemble_avg(c: Context) -> DataFrame:
+    return metrics.ensemble([c.scored, decide.exclusive(c.scored.filter("p >= 0.02"))])
+
+
+@query(_over(o.CANDIDATES, "SELECT country_n, count(*) AS n_s1, round(avg(coalesce(k, 0)), 6) AS mean_k, round(count(*) FILTER (coalesce(k, 0) = 0) / count(*), 6) AS empty_share, round(coalesce(sum(k2), 0) / greatest(coalesce(sum(k), 0), 1), 6) AS s2_share FROM counts LEFT JOIN (SELECT s1_id, count(*) AS k, count(*) FILTER (cand_id LIKE 'S2-%') AS k2 FROM selected GROUP BY s1_id) USING (s1_id) GROUP BY country_n"))
+def selection_shape(c: Context) -> DataFrame:
+    return metrics.shape(c.selected, c.s1)
+
+
+# Sources, outputs and checks.
+_WIDE = ", wide AS (SELECT s1_id AS source1_entity_id, coalesce(string_agg(match_id, ',' ORDER BY match_id), '') AS ids FROM er_gt GROUP BY s1_id)"
+
+
+@query(_over(o.TABLES, "SELECT DISTINCT s1_id, match_id FROM er_gt"))
+def gt_long(c: Context) -> DataFrame:
+    wide = c.truth.groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.array_join(F.array_sort(F.collect_list("match_id")), ",").alias("matched_entity_ids"))
+    return long_truth(wide)
+
+
+@query(_over(o.CANDIDATES, "SELECT n.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY p DESC, cand_id), '') AS matched_entity_ids FROM er_s1 n LEFT JOIN selected s ON s.s1_id = n.entity_id GROUP BY n.entity_id"))
+def matching_results(c: Context) -> DataFrame:
+    return id_lists(c.raw_s1, c.selected, "matched_entity_ids")
+
+
+@query(_over(o.CANDIDATES, "SELECT n.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY p DESC, cand_id), '') AS candidate_entity_ids FROM er_s1 n LEFT JOIN scored s ON s.s1_id = n.entity_id GROUP BY n.entity_id"))
+def candidate_pairs(c: Context) -> DataFrame:
+    return id_lists(c.raw_s1, c.scored, "candidate_entity_ids")
+
+
+@query(_over(o.TABLES, """SELECT entity_id AS source1_entity_id, 'missing_s1' AS finding FROM er_s1 WHERE CAST(substr(entity_id, 4) AS BIGINT) % 50 = 7 UNION ALL SELECT entity_id, 'repeated_id' FROM er_s1 WHERE CAST(substr(entity_id, 4) AS BIGINT) % 50 = 11
+UNION ALL SELECT entity_id, 's1_in_list' FROM er_s1 WHERE CAST(substr(entity_id, 4) AS BIGINT) % 50 = 13 UNION ALL SELECT entity_id, 'wrong_prefix' FROM er_s1 WHERE CAST(substr(entity_id, 4) AS BIGINT) % 50 = 17 UNION ALL SELECT entity_id, 'repeated_s1' FROM er_s1 WHERE CAST(substr(entity_id, 4) AS BIGINT) % 50 = 19"""))
+def audit_findings(c: Context) -> DataFrame:
+    """A list file with known faults at every fiftieth record."""
+    n = F.substring("entity_id", 4, 10).cast("long") % 50
+    ids = F.when(n == 11, "S2-1,S2-1").when(n == 13, "S1-1").when(n == 17, "X-1").otherwise("")
+    lists = c.raw_s1.filter(n != 7).select(F.col("entity_id").alias("source1_entity_id"), ids.alias("matched_entity_ids"), n.alias("n"))
+    lists = lists.unionAll(lists.filter("n = 19")).drop("n")
+    return audit.audit_id_lists(lists, "matched_entity_ids", c.raw_s1)
+
+
+_NOISE = ", ".join(f"round(avg(CAST(regexp_matches(business_name, '{p}') AS INT)), 6) AS name_{k}" for k, p in audit.NOISE.items())
+
+
+@query(_over(o.TABLES, f"SELECT substr(entity_id, 1, 2) AS src, count(*) AS n, count(DISTINCT entity_id) AS n_ids, round(avg(CAST(business_name = '' AS INT)), 6) AS empty_name, round(avg(CAST(business_address = '' AS INT)), 6) AS empty_address, round(avg(length(business_name)), 6) AS mean_name, round(avg(length(business_address)), 6) AS mean_address, {_NOISE} FROM er_all GROUP BY 1"))
+def profile_sources(c: Context) -> DataFrame:
+    return audit.profile(c.raw)
+
+
+@query(_over(o.TABLES, "SELECT CAST(least(k, 10) AS BIGINT) AS k, count(*) AS n FROM (SELECT s1_id, count(match_id) AS k FROM er_gt GROUP BY s1_id) GROUP BY 1"))
+def match_histogram(c: Context) -> DataFrame:
+    return audit.match_histogram(c.truth)
+
+
+@query(_over(o.TABLES, "SELECT match_id, count(DISTINCT s1_id) AS n_s1 FROM er_gt WHERE match_id IS NOT NULL GROUP BY match_id HAVING count(DISTINCT s1_id) > 1"))
+def truth_exclusivity(c: Context) -> DataFrame:
+    return audit.exclusivity(c.truth)
+
+
+@query(_over(o.CANDIDATES, "SELECT source1_entity_id FROM (SELECT s1_id AS source1_entity_id FROM selected ANTI JOIN scored USING (s1_id, cand_id)) GROUP BY 1"))
+def matches_not_candidates(c: Context) -> DataFrame:
+    return audit.not_candidates(id_lists(c.raw_s1, c.selected, "matched_entity_ids"), id_lists(c.raw_s1, c.scored, "candidate_entity_ids"))
+
+
+# Second stage.
+
+
+def _context(c: Context) -> DataFrame:
+    blocks = groups.s1_blocks(c.s1, 20).select(F.col("entity_id").alias("s1_id"), "block")
+    return groups.stage2_context(c.scored.join(blocks, "s1_id").drop("label"))
+
+
+@query(_over(o.CANDIDATES + _BLOCKS + """, d AS (SELECT s1_id, cand_id, p, block FROM scored JOIN blocks ON entity_id = s1_id WHERE p >= 0.05),
+e AS (SELECT *, row_number() OVER o AS r_s1, max(p) OVER w AS p_max, CAST(sum(CAST(p AS DECIMAL(9,6))) OVER w AS DOUBLE) AS p_sum, count(*) FILTER (p > 0.5) OVER w AS n_hi, count(*) OVER w AS n_s1, round(p - coalesce(lead(p) OVER o, 0.0), 6) AS gap_next, count(*) OVER c AS c_n, row_number() OVER q AS c_rank, count(*) FILTER (p > 0.3) OVER c AS c_n_hi
+  FROM d WINDOW w AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY p DESC, cand_id), c AS (PARTITION BY cand_id, block), q AS (PARTITION BY cand_id, block ORDER BY p DESC, s1_id))""",
+"""SELECT e.*, round(e.p / e.p_max, 6) AS p_ratio, CASE WHEN e.c_n = 1 THEN 0.0 WHEN e.c_rank = 1 THEN c2.p ELSE c1.p END AS c_other, CASE WHEN e.r_s1 = 1 THEN s2.cand_id ELSE s1.cand_id END AS ref, coalesce(CASE WHEN e.r_s1 = 1 THEN s2.p ELSE s1.p END, 0.0) AS p_ref
+FROM e LEFT JOIN e c1 ON c1.cand_id = e.cand_id AND c1.block = e.block AND c1.c_rank = 1 LEFT JOIN e c2 ON c2.cand_id = e.cand_id AND c2.block = e.block AND c2.c_rank = 2 LEFT JOIN e s1 ON s1.s1_id = e.s1_id AND s1.r_s1 = 1 LEFT JOIN e s2 ON s2.s1_id = e.s1_id AND s2.r_s1 = 2"""))
+def stage2_context(c: Context) -> DataFrame:
+    return _context(c)
+
+
+@query()
+def stage2_consistency(c: Context) -> DataFrame:
+    return groups.stage2_consistency(_context(c), c.pool)
+
+
+@query(_over(o.CANDIDATES, "SELECT s1_id, cand_id, CASE WHEN p >= 0.02 AND p < 0.995 AND label = 1 THEN round(p / 2 + 0.5, 8) ELSE p END AS p FROM scored"))
+def band_overlay(c: Context) -> DataFrame:
+    second = c.scored.filter("label = 1").select("s1_id", "cand_id", F.round(F.col("p") / 2 + 0.5, 8).alias("p2"))
+    return groups.band_overlay(c.scored, second).select("s1_id", "cand_id", "p")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
