@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import similarity as sim
 from quillstone.functions import text
-from quillstone.operators import audit, decide, groups, metrics, pairs, retrieval
+from quillstone.operators import audit, decide, groups, learn, metrics, pairs, retrieval
 from quillstone.plans import oracles as o
 from quillstone.sources.records import Linkage, id_lists, long_truth
 
@@ -475,6 +475,33 @@ def band_overlay(c: Context) -> DataFrame:
     return groups.band_overlay(c.scored, second).select("s1_id", "cand_id", "p")
 
 
+# Models: trained on two thirds of the S1 records, picked by their number, and applied to all.
+
+
+def _learning(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.substring("s1_id", 4, 10).cast("long") % 3 != 0)
+
+
+@query()
+def matcher_scores(c: Context) -> DataFrame:
+    rows = metrics.labelled(pairs.build_features(c.candidates, c.s1, c.pool), c.truth).persist()
+    return learn.predict(learn.train_matcher(_learning(rows), pairs.FEATURES), rows, pairs.FEATURES).select("s1_id", "cand_id", "label", "p")
+
+
+@query()
+def reranker_scores(c: Context) -> DataFrame:
+    rows = metrics.labelled(pairs.rerank_similarities(c.candidates, c.s1, c.pool), c.truth).persist()
+    scored = learn.predict(learn.train_reranker(_learning(rows)), rows, learn.RERANK_FEATURES, "rr")
+    return retrieval.adaptive_top_k(scored, "rr", 8, 3, 0.01).select("s1_id", "cand_id", "rr", "rr_rank")
+
+
+@query()
+def stack_scores(c: Context) -> DataFrame:
+    shares = c.candidates.select("s1_id", "cand_id", F.coalesce("bname_norm", F.lit(0.0)).alias("a"), F.coalesce("baddr_norm", F.lit(0.0)).alias("b"))
+    rows = metrics.labelled(shares, c.truth).persist()
+    return learn.stacked(learn.train_stacker(_learning(rows), ["a", "b"]), rows, ["a", "b"]).select("s1_id", "cand_id", "p")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
