@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +19,34 @@ ORACLES: dict[str, str] = {}
 
 
 class Context:
-    """The linkage tables of a folder and what several queries derive from them."""
+    """The linkage tables of a folder and what several queries derive from them. Normalised records and candidates are
+    persisted when first used (memory, then disk), so a session that runs many queries derives them once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         t = Linkage(spark, sf_dir)
         self.raw_s1, self.raw_pool, self.truth = t.s1, t.pool, t.truth
         self.raw = t.s1.unionAll(t.pool)
-        self.s1, self.pool, self.all = text.normalised(t.s1), text.normalised(t.pool), text.normalised(self.raw)
+        self.all = text.normalised(self.raw).persist()
+        self.s1, self.pool = self.all.filter("src = 'S1'"), self.all.filter("src <> 'S1'")
         self.p = retrieval.Retrieval()
 
-    @property
+    @cached_property
     def weights(self) -> DataFrame:
         return retrieval.key_weights(retrieval.block_keys(self.pool), self.pool, self.p)
 
-    @property
+    @cached_property
     def scores(self) -> DataFrame:
         return retrieval.candidate_scores(retrieval.block_keys(self.s1), retrieval.block_keys(self.pool), self.weights)
 
-    @property
+    @cached_property
     def ranked(self) -> DataFrame:
         return retrieval.with_ranks(self.scores)
 
-    @property
+    @cached_property
     def candidates(self) -> DataFrame:
-        return retrieval.candidates(self.s1, self.pool, self.p)
+        return retrieval.candidates(self.s1, self.pool, self.p).persist()
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         """Candidates with a probability in closed form, and their labels."""
         p = F.round(0.02 + 0.96 * F.col("bscore_norm"), 6)
@@ -62,9 +65,20 @@ class Context:
         return pairs.joined(self.candidates, self.s1, self.pool)
 
 
+CONTEXTS: dict[tuple[str, str], Context] = {}
+
+
+def context(spark: SparkSession, sf_dir: str) -> Context:
+    """One per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in CONTEXTS:
+        CONTEXTS[key] = Context(spark, sf_dir)
+    return CONTEXTS[key]
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(context(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql
         return f
