@@ -12,6 +12,7 @@ ties need no rule, as each row is scored alone. Empty tables give no rows. A wor
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -320,10 +321,21 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Network | float:
     share = F.when(F.col("toxic") == 1, min(1.0, p.sample / sizes[1])).otherwise(min(1.0, p.sample / sizes[0]))
     # At most about 2 * p.sample ids of a few bytes are broadcast; the texts stay where they are.
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(4 * p.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    if rows.toxic.nunique() < 2:
-        return sizes[1] / (sizes[0] + sizes[1])
-    return train(pa.array(rows.text, pa.string()), rows.toxic.to_numpy(), p, sizes[1] / (sizes[0] + sizes[1]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    prior = sizes[1] / (sizes[0] + sizes[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model: Network | float = prior
+        if held:
+            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            label = t["toxic"].to_numpy()
+            if 0 < label.sum() < len(label):
+                model = train(t["text"].combine_chunks(), label, p, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # Trained in one executor task, not on the driver: the bounded sample is all that it holds.
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def text_scores(column: pa.Array, net: Network | float) -> tuple[np.ndarray, np.ndarray]:
