@@ -18,12 +18,14 @@ from quillstone.functions.text import compact, words
 
 @dataclass(frozen=True)
 class Retrieval:
-    """top_k, k_name, k_address: candidates kept by the whole score, and further ones by each channel."""
+    """top_k, k_name, k_address: candidates kept by the whole score, and further ones by each channel.
 
-    max_df: int = 50
-    top_k: int = 10
-    k_name: int = 3
-    k_address: int = 3
+    The defaults are the reference's sizes before its re-ranker, with the max_df of its final run."""
+
+    max_df: int = 600
+    top_k: int = 300
+    k_name: int = 60
+    k_address: int = 60
 
 
 def _struct(kind: str, value: Column) -> Column:

@@ -28,7 +28,8 @@ class Context:
         self.raw = t.s1.unionAll(t.pool)
         self.all = text.normalised(self.raw).persist()
         self.s1, self.pool = self.all.filter("src = 'S1'"), self.all.filter("src <> 'S1'")
-        self.p = retrieval.Retrieval()
+        # The sizes that the given SQL states; wide takes the reference's.
+        self.p = retrieval.Retrieval(max_df=50, top_k=10, k_name=3, k_address=3)
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -46,6 +47,18 @@ class Context:
     def candidates(self) -> DataFrame:
         return retrieval.candidates(self.s1, self.pool, self.p).persist()
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Candidates of the reference's sizes, before the re-ranker."""
+        return retrieval.candidates(self.s1, self.pool, retrieval.Retrieval()).persist()
+
+    @cached_property
+    def reranked(self) -> DataFrame:
+        """Wide candidates with a trained score, of which the best are kept as the reference's final run does."""
+        rows = metrics.labelled(pairs.rerank_similarities(self.wide, self.s1, self.pool), self.truth).persist()
+        scored = learn.predict(learn.train_reranker(_learning(rows)), rows, learn.RERANK_FEATURES, "rr")
+        return retrieval.adaptive_top_k(scored, "rr", 40, 3, 0.002).persist()
+
     @cached_property
     def scored(self) -> DataFrame:
         """Candidates with a probability in closed form, and their labels."""
@@ -178,6 +191,16 @@ def block_recall(c: Context) -> DataFrame:
     return retrieval.block_recall(c.candidates, c.truth)
 
 
+@query()
+def wide_candidates(c: Context) -> DataFrame:
+    return c.wide
+
+
+@query()
+def wide_block_recall(c: Context) -> DataFrame:
+    return retrieval.block_recall(c.wide, c.truth)
+
+
 # Similarities: over the names of each record's best candidate.
 BEST = "best AS (SELECT s1_id, cand_id, {x} AS x, {y} AS y FROM pairs WHERE brank = 1),"
 
@@ -498,15 +521,13 @@ def _learning(rows: DataFrame) -> DataFrame:
 
 @query()
 def matcher_scores(c: Context) -> DataFrame:
-    rows = metrics.labelled(pairs.build_features(c.candidates, c.s1, c.pool), c.truth).persist()
+    rows = metrics.labelled(pairs.build_features(c.reranked.select(*c.wide.columns), c.s1, c.pool), c.truth).persist()
     return learn.predict(learn.train_matcher(_learning(rows), pairs.FEATURES), rows, pairs.FEATURES).select("s1_id", "cand_id", "label", "p")
 
 
 @query()
 def reranker_scores(c: Context) -> DataFrame:
-    rows = metrics.labelled(pairs.rerank_similarities(c.candidates, c.s1, c.pool), c.truth).persist()
-    scored = learn.predict(learn.train_reranker(_learning(rows)), rows, learn.RERANK_FEATURES, "rr")
-    return retrieval.adaptive_top_k(scored, "rr", 8, 3, 0.01).select("s1_id", "cand_id", "rr", "rr_rank")
+    return c.reranked.select("s1_id", "cand_id", "rr", "rr_rank")
 
 
 @query()
