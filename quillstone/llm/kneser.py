@@ -1,9 +1,10 @@
 """Quality rules: fixed counts, and perplexity under a modified Kneser-Ney model with bands per language.
 
 The model is one of characters within words. Spark counts the n-grams of the highest order over all documents; lower
-orders hold continuation counts, and every order has three discounts from its counts of counts. The model is kept in
-two sorted hash arrays (n-gram to discounted share, context to back-off weight) with an index on the leading bits. Its
-size is bounded: n-grams of the highest order rarer than needed are left to the back-off, whose weight makes up for it.
+orders hold continuation counts, and every order has three discounts from its counts of counts. All n-grams are kept,
+in tables dealt by n-gram that no driver or executor holds as a whole. Texts are read in chunks; each chunk's distinct
+n-grams meet the table, and their probabilities go back to the words of the chunk, in a sorted hash array.
+fit() gives a bounded model for one process instead; judge_quality() does not use it.
 A document is rejected if its log perplexity lies outside its language's band: `reach` interquartile ranges beyond the
 quartiles of all documents that pass the fixed rules, and wider for short texts, whose mean varies more.
 
@@ -13,8 +14,10 @@ Null texts have no words and fail the word minimum. A null lang is a language of
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrays import chunks, covered, inside, mix, rolling, string_hashes, texts, word_hashes, words
-from quillstone.llm.shared import stored
+from quillstone.llm.shared import release, stored
 
 NO_LANG = ""
 BEGIN, END = 2, 3
@@ -33,7 +36,7 @@ SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint8)
 
 @dataclass(frozen=True)
 class QualityRules:
-    """order: characters of an n-gram. entries: of the model at most. reach: of a band, in interquartile ranges, times
+    """order: characters of an n-gram. entries: of the model of fit() at most. reach: of a band, in interquartile ranges, times
     1 + spread / sqrt(words)."""
 
     order: int = 4
@@ -90,23 +93,28 @@ def language_words(part: pa.RecordBatch) -> Iterator[tuple]:
         yield lang, at, coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(at, np.diff(offsets))
 
 
+def chunk_grams(found: Iterable[tuple], p: QualityRules) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """Of language_words(), for each language with words: its name, the distinct n-grams of the highest order, their counts."""
+    for lang, _, distinct, codes, _ in found:
+        if not len(distinct):
+            continue
+        points, size = padded(distinct, p.order)
+        at = targets(size, p.order)
+        times = np.repeat(np.bincount(codes, minlength=len(distinct)), size)[at]
+        _, first, inverse = np.unique(gram_hashes(points, p.order, np.uint64(0))[at], return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=times)
+        grid = points[at[first][:, None] + np.arange(1 - p.order, 1)].astype("<u4")
+        raw = grid.tobytes().decode("utf-32-le", "surrogatepass")
+        yield lang, [raw[i : i + p.order] for i in range(0, len(raw), p.order)], n.astype(np.int64)
+
+
 def gram_counts(docs: DataFrame, p: QualityRules) -> DataFrame:
     """lang, gram, n over all documents; summed in each chunk and each partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            for lang, _, distinct, codes, _ in language_words(part):
-                if not len(distinct):
-                    continue
-                points, size = padded(distinct, p.order)
-                at = targets(size, p.order)
-                times = np.repeat(np.bincount(codes, minlength=len(distinct)), size)[at]
-                _, first, inverse = np.unique(gram_hashes(points, p.order, np.uint64(0))[at], return_index=True, return_inverse=True)
-                n = np.bincount(inverse, weights=times)
-                grid = points[at[first][:, None] + np.arange(1 - p.order, 1)].astype("<u4")
-                raw = grid.tobytes().decode("utf-32-le", "surrogatepass")
-                grams = [raw[i : i + p.order] for i in range(0, len(raw), p.order)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            for lang, grams, n in chunk_grams(language_words(part), p):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -169,7 +177,7 @@ class KneserNey:
 
 
 def fit(docs: DataFrame, p: QualityRules) -> KneserNey:
-    """Counts stay distributed; what comes to the driver is at most p.entries rows and their contexts."""
+    """A model for one process: what comes to the driver is at most p.entries rows and their contexts."""
     level = stored(gram_counts(docs, p), "grams")
     # A count to keep the highest order within the bound; lower orders have fewer n-grams than it.
     sizes = sorted((r.n, r.c) for r in level.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).collect())
@@ -246,29 +254,112 @@ def rule_counts(column: pa.Array, p: QualityRules) -> tuple[np.ndarray, ...]:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, model: KneserNey, p: QualityRules) -> DataFrame:
-    """doc_id, lang, the fixed counts, and log_perplexity (per character; null without words)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+SCANNED = "chunk long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", codes binary, words binary, grams array<string>, n array<long>"
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """A document's word codes, in ascending order, by their differences."""
+    return zlib.compress(np.diff(np.sort(codes), prepend=0).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(held), np.uint32), dtype=np.int64)
+
+
+def scanned(docs: DataFrame, p: QualityRules) -> DataFrame:
+    """Rows of two kinds, to be stored: a chunk's documents (words null) with their counts and word codes, and for each of
+    its languages the distinct words that codes refer to and the n-grams with counts. Texts go no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[f.split()[1]]) for f in SCANNED.split(", ")])
         for part in chunks(batches, "text"):
-            logs, symbols = np.zeros(part.num_rows), np.zeros(part.num_rows)
-            for lang, _, distinct, codes, row in language_words(part):
-                if len(distinct):
-                    points, size = padded(distinct, p.order)
-                    logs += np.bincount(row, weights=held.value.log_probabilities(points, size, lang)[codes], minlength=part.num_rows)
-                    symbols += np.bincount(row, weights=(size - p.order + 1)[codes], minlength=part.num_rows)
-            value = pa.array(np.divide(-logs, symbols, out=np.zeros_like(logs), where=symbols > 0), mask=symbols == 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, rule_counts(part.column("text"), p)), value], ["doc_id", "lang", *COLUMNS, "log_perplexity"])
+            chunk, size = int.from_bytes(os.urandom(8), "little", signed=True), part.num_rows
+            packed: list[bytes | None] = [None] * size
+            found = list(language_words(part))
+            for _, at, _, codes, row in found:
+                ends = np.searchsorted(row, at, side="right")
+                for d, begin, end in zip(at.tolist(), np.searchsorted(row, at).tolist(), ends.tolist(), strict=True):
+                    packed[d] = _packed(codes[begin:end])
+            none = [pa.nulls(size, t) for t in schema.types[-3:]]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * size), part.column("doc_id"), part.column("lang"), *map(pa.array, rule_counts(part.column("text"), p)), pa.array(packed, pa.binary()), *none], schema=schema)
+            dictionaries = {lang: zlib.compress(" ".join(distinct.to_pylist()).encode(), 1) for lang, _, distinct, _, _ in found}
+            for lang, grams, n in chunk_grams(found, p):
+                row = {"chunk": chunk, "lang": lang, "words": dictionaries[lang], "grams": grams, "n": n}
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return kept.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", log_perplexity double")
+    return kept.mapInArrow(run, SCANNED)
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3: discounts() of each language."""
+    few = level.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)])
+    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    usual = (F.col("c1") > 0) & (F.col("c2") > 0)
+
+    def one(k: int, otherwise: float):
+        raw = F.when(F.col(f"c{k}") > 0, k - (k + 1) * y * F.col(f"c{k + 1}") / F.nullif(F.col(f"c{k}"), F.lit(0.0))).otherwise(k * y)
+        return F.when(usual, F.least(F.greatest(raw, F.lit(0.05)), F.lit(k - 0.05))).otherwise(otherwise).alias(f"d{k}")
+
+    return few.select("lang", one(1, 0.5), one(2, 0.75), one(3, 0.9))
+
+
+def gram_probabilities(level: DataFrame, p: QualityRules) -> DataFrame:
+    """lang, gram, n of the highest order -> lang, gram, p: interpolated probabilities, from the lowest order up."""
+    levels = {p.order: level}
+    for n in range(p.order - 1, 0, -1):
+        levels[n] = stored(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), "level")
+    known = levels[1].groupBy("lang").agg(F.count("*").alias("size")).select("lang", F.lit("").alias("gram"), (1 / (F.col("size") + 1)).alias("p"))
+    for n in range(1, p.order + 1):
+        cut = _discounts(levels[n])
+        rows = levels[n].withColumns({"context": F.substring("gram", 1, n - 1), "suffix": F.substring("gram", 2, n - 1)})
+        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
+        weight = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
+        sums = sums.join(cut, "lang").withColumn("weight", weight).drop("n1", "n2", "n3")
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        lower = known.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        known = rows.join(sums, ["lang", "context"]).join(lower, ["lang", "suffix"]).select("lang", "gram", ((F.col("n") - less) / F.col("total") + F.col("weight") * F.col("lower")).alias("p"))
+    return known
+
+
+MEASURED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", log_perplexity double"
+
+
+def measured(docs: DataFrame, p: QualityRules) -> DataFrame:
+    """doc_id, lang, the fixed counts, and log_perplexity (per character; null without words)."""
+    rows = stored(scanned(docs, p), "scanned", compression="zstd")
+    grams = rows.filter("grams IS NOT NULL").select("chunk", "lang", F.explode(F.arrays_zip("grams", "n")).alias("g")).select("chunk", "lang", F.col("g.grams").alias("gram"), F.col("g.n").alias("n"))
+    level = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    known = stored(gram_probabilities(level, p), "probabilities")
+    release(level)
+    # Both sides are dealt by n-gram at every size: the model grows with the corpus, so it is never broadcast.
+    answers = grams.select("chunk", "lang", "gram").join(known.hint("merge"), ["lang", "gram"]).select(F.col("chunk").alias("asked"), F.col("lang").alias("language"), "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
+
+    def score(held: pa.Table, answers_: pa.Table) -> pa.Table:
+        part, of_language = held.filter(pc.is_null(held["words"])), {}
+        for row in held.filter(pc.is_valid(held["words"])).select(["lang", "words"]).to_pylist():
+            own = answers_.filter(pc.equal(answers_["language"], row["lang"]))
+            table = HashArray(_of(own["gram"].to_pylist(), p.order, np.uint64(0)), own["log_p"].to_numpy())
+            points, size = padded(pa.array(zlib.decompress(row["words"]).decode().split(" ")), p.order)
+            at = targets(size, p.order)
+            found = table.get(gram_hashes(points, p.order, np.uint64(0))[at], np.nan)
+            logs = np.bincount(np.repeat(np.arange(len(size)), size)[at], weights=found, minlength=len(size))
+            of_language[row["lang"]] = logs, size - p.order + 1
+        value = []
+        for lang, packed in zip(part["lang"].to_pylist(), part["codes"].to_pylist(), strict=True):
+            codes = _unpacked(packed)
+            logs, symbols = of_language[lang or NO_LANG] if len(codes) else (np.zeros(0), np.zeros(0))
+            value.append(-logs[codes].sum() / symbols[codes].sum() if len(codes) else None)
+        return part.select(["doc_id", "lang", *COLUMNS]).append_column("log_perplexity", pa.array(value, pa.float64()))
+
+    kept = rows.select("chunk", "doc_id", "lang", *COLUMNS, "codes", "words")
+    return kept.groupBy("chunk").cogroup(answers.groupBy("asked")).applyInArrow(score, MEASURED)
 
 
 def judge_quality(docs: DataFrame, p: QualityRules | None = None) -> DataFrame:
     """doc_id, lang, text -> a row per document: the counts, base_failed, log_perplexity, lower, upper, kept."""
     p = p or QualityRules()
-    rows = stored(measured(docs, fit(docs, p), p), "measured")
+    rows = stored(measured(docs, p), "measured")
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("language", F.coalesce("lang", F.lit(NO_LANG)))
     q = rows.filter(~F.col("base_failed")).groupBy("language").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= p.least_docs)

@@ -96,3 +96,23 @@ def test_junk_is_rejected_and_prose_kept(spark):
     junk = [(10**6 + i, "en", " ".join("".join(rng.choice("qxzjkvwQXZ0189") for _ in range(8)) for _ in range(80))) for i in range(5)]
     got = {r.doc_id: r.kept for r in judge_quality(docs.unionAll(spark.createDataFrame(junk, docs.schema))).collect()}
     assert not any(got[i] for i, _, _ in junk)
+
+
+def test_no_gram_is_left_out(spark):
+    """The bound of fit() does not reach judge_quality(), which scores as a model of all n-grams does."""
+    from quillstone.llm.kneser import language_words
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").filter("text IS NOT NULL").repartition(3)
+    score = lambda p: {r.doc_id: r.log_perplexity for r in judge_quality(docs, p).collect()}
+    whole, bounded = score(QualityRules()), score(QualityRules(entries=200))
+    assert whole == bounded
+    model, n = fit(docs, QualityRules()), 0
+    for r in docs.filter("lang IS NOT NULL").collect():
+        part = pa.RecordBatch.from_pylist([{"lang": r.lang, "text": r.text}])
+        for lang, _, distinct, codes, _ in language_words(part):
+            if len(distinct):
+                points, size = padded(distinct, 4)
+                logs = model.log_probabilities(points, size, lang)[codes]
+                assert abs(whole[r.doc_id] + logs.sum() / (size - 3)[codes].sum()) < 1e-4
+                n += 1
+    assert n > 100
