@@ -12,7 +12,7 @@ is the corpus itself, so the sum of the automata grows with it and no executor c
 text, remove_reference() does broadcast them. Anchors that occur more often than `hot` times are handled a window at a
 time, counted by hash before the shuffle, so no shard grows beyond bounds.
 
-Null and empty texts have no words. Texts shorter than a window keep all. Repeated rows remove each other's words, and
+Rows with a null doc_id are documents like others. Null and empty texts have no words. Texts shorter than a window keep all. Repeated rows remove each other's words, and
 a window that overlaps its own repetition counts. Empty tables give no rows.
 """
 
@@ -168,6 +168,12 @@ class _Windows:
         return key, prints[0], prints[1], begin, count
 
 
+def _with_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, with right's columns where it has a row of the same KEY; a null doc_id equals another."""
+    named = right.withColumnsRenamed({c: f"{c}_of" for c in KEY})
+    return left.join(named, (left["doc_id"].eqNullSafe(named["doc_id_of"])) & (left["text_hash"] == named["text_hash_of"]), "left").drop("doc_id_of", "text_hash_of")
+
+
 def anchors(docs: DataFrame, p: SubstringDedup) -> DataFrame:
     """doc_id, text_hash, anchors (as often as they occur)."""
 
@@ -212,7 +218,7 @@ def split_off(docs: DataFrame, repeated: DataFrame, p: SubstringDedup) -> DataFr
             text = _blanked(part.column("text"), done.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.string()), text, part.column("common"), part.column("hot")], [*KEY, "n_words", "kept_sha256", "text", "common", "hot"])
 
-    return docs.join(repeated, list(KEY), "left").mapInArrow(run, "doc_id long, text_hash long, n_words long, kept_sha256 string, text string, common array<long>, hot array<long>")
+    return _with_row(docs, repeated).mapInArrow(run, "doc_id long, text_hash long, n_words long, kept_sha256 string, text string, common array<long>, hot array<long>")
 
 
 def distinct_segments(rows: DataFrame, p: SubstringDedup) -> DataFrame:
@@ -339,7 +345,7 @@ def remove_repeats(docs: DataFrame, p: SubstringDedup | None = None) -> DataFram
     found = stored(verdicts(distinct_segments(rest.select("text", "common", "hot"), p), p), "verdicts")
     release()
     ranges = instances(rest.select(*KEY, "text", "common", "hot"), p).join(found, ["key", "one", "two"]).groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows", "repeated")).alias("found"))
-    cut = without(rest.select(*KEY, "text").join(ranges, list(KEY), "left"), p)
+    cut = without(_with_row(rest.select(*KEY, "text"), ranges), p)
     return rows.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionAll(cut)
 
 

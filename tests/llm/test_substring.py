@@ -71,3 +71,15 @@ def test_reference_shards(spark):
 
 def test_query_equals_sql(spark):
     assert compare(op2_substring_dedup(spark, "/root/testdata/sf0.01"), oracle_sql()["op2_substring_dedup"], "/root/testdata/sf0.01") == 1000
+
+
+def test_null_ids_are_documents(spark):
+    rng = random.Random(7)
+    new = lambda k: " ".join(f"w{rng.randrange(10**5)}" for _ in range(k))
+    passage, other = new(50), new(45)
+    rows = [(None, f"{new(9)} {passage}"), (1, f"{passage} {new(9)}"), (None, other), (None, other), (None, new(60)), (None, None), (2, new(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for p in (SubstringDedup(), SubstringDedup(hot=0)):
+        got = [tuple(r) for r in remove_repeats(docs, p).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+        expected = sorted((-1 if i is None else i, *r) for i, *r in brute([(-1 if i is None else i, t) for i, t in rows], 35))
+        assert sorted((-1 if i is None else i, *r) for i, *r in got) == expected
