@@ -1,21 +1,22 @@
 """Quality rules: fixed counts, and perplexity under a modified Kneser-Ney model with bands per language.
 
-The model is one of characters within words. Spark counts the n-grams of the highest order over all documents; lower
-orders hold continuation counts, and every order has three discounts from its counts of counts. All n-grams are kept,
-in tables dealt by n-gram that no driver or executor holds as a whole. Texts are read in chunks; each chunk's distinct
-n-grams meet the table, and their probabilities go back to the words of the chunk, in a sorted hash array.
-fit() gives a bounded model for one process instead; judge_quality() does not use it.
-A document is rejected if its log perplexity lies outside its language's band: `reach` interquartile ranges beyond the
-quartiles of all documents that pass the fixed rules, and wider for short texts, whose mean varies more.
-
-Null texts have no words and fail the word minimum. A null lang is a language of its own. A language with fewer than
-`least_docs` documents has no band. Empty tables give no rows. No text is cut; a worker holds a chunk at a time.
+The model is one of characters, of `order` at a time, that runs on across words: a text is its lower-cased words with
+one space between them. Spark counts the n-grams of the highest order over all documents; lower orders hold continuation
+counts, and every order has three discounts from its counts of counts. All n-grams are kept. Their probabilities are
+read in sorted hash arrays of at most about `block_entries`, one broadcast after another: a document's logarithms add
+up over the blocks, so the model may grow with the corpus while what an executor holds does not.
+A document is rejected if its log perplexity a character lies outside its language's band for texts of its length
+(lengths between the same powers of two): `reach` deviations below or above the median of the documents that pass the
+fixed rules (of equal perplexities, one), the deviation taken from the quartiles on that side. A length with fewer than
+`least_docs` such documents takes the band of the whole language, twice as wide; a language with fewer has none.
+
+Null texts have no words and fail the word minimum. A null lang is a language of its own. Texts of equal content get
+equal figures, wherever they lie. Empty tables give no rows. No text is cut; a worker holds a chunk at a time, and works
+on about a million characters of it at once.
 """
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,30 +33,30 @@ from quillstone.llm.shared import release, stored
 NO_LANG = ""
 BEGIN, END = 2, 3
 SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint8)
+#: Characters that are worked on at once, and n-grams that a worker gathers before it hands them on.
+BLOCK, GATHERED = 1 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """order: characters of an n-gram. entries: of the model of fit() at most. reach: of a band, in interquartile ranges, times
-    1 + spread / sqrt(words)."""
+    """order: characters of an n-gram. block_entries: n-grams of a broadcast. reach: of a band, in deviations."""
 
-    order: int = 4
-    entries: int = 500_000
-    reach: float = 6.0
-    spread: float = 5.0
+    order: int = 5
+    block_entries: int = 1 << 22
+    reach: float = 7.0
     least_docs: int = 20
     min_words: int = 20
     repeat_percent: int = 30
     repeat_window: int = 8
 
 
-def padded(distinct: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of words, each with order - 1 BEGIN before and END after; and each word's length so."""
-    values = distinct.to_pylist()
-    points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def padded(values: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings, each with order - 1 BEGIN before and END after; and each string's length so."""
+    values = values.to_pylist()
+    points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = np.fromiter(map(len, values), np.int64, len(values))
     size = n + order
-    out = np.full(int(size.sum()), BEGIN, np.uint64)
+    out = np.full(int(size.sum()), BEGIN, np.uint32)
     ends = np.cumsum(size)
     out[ends - 1] = END
     at = np.repeat(ends - size + order - 1 - (np.cumsum(n) - n), n) + np.arange(len(points))
@@ -65,6 +66,7 @@ def padded(distinct: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(points: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
     """Hash of the n symbols that end at each position (the first n - 1 positions are not meaningful)."""
+    points = points.astype(np.uint64)
     out = np.full(len(points), np.uint64(n), np.uint64)
     for back in range(n - 1, -1, -1):
         shifted = points if not back else np.concatenate([np.zeros(back, np.uint64), points[:-back]])
@@ -76,45 +78,66 @@ def lang_seed(lang: str) -> np.uint64:
     return string_hashes(pa.array([lang]), 5)[0]
 
 
-def targets(size: np.ndarray, order: int) -> np.ndarray:
-    """Positions of characters and END, those that the model predicts."""
-    total = int(size.sum())
-    begin = np.repeat(np.cumsum(size) - size, size)
-    return np.flatnonzero(np.arange(total) - begin >= order - 1)
-
-
-def language_words(part: pa.RecordBatch) -> Iterator[tuple]:
-    """For each language of a chunk: its name, the rows, the distinct lower-cased words, their codes, the words' rows."""
+def sequences(part: pa.RecordBatch, order: int) -> Iterator[tuple]:
+    """For each language of a chunk: its name, the rows, their symbols one after another, and how many each has.
+    Texts without words are left out."""
     langs = pc.fill_null(part.column("lang").cast(pa.string()), NO_LANG)
     for lang in pc.unique(langs).to_pylist():
         at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
         flat, offsets = words(pc.utf8_lower(texts(part.column("text").take(pa.array(at)))))
-        coded = flat.dictionary_encode()
-        yield lang, at, coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(at, np.diff(offsets))
+        full = np.diff(offsets) > 0
+        if full.any():
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            joined = pc.binary_join(lists, " ").filter(pa.array(full))
+            yield lang, at[full], *padded(joined, order)
+
+
+def blocks(points: np.ndarray, size: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the symbols, of BLOCK positions after the order - 1 before them: symbols, the positions in the piece that
+    the model predicts (characters and END), and the text of each."""
+    ends = np.cumsum(size)
+    for lo in range(0, len(points), BLOCK):
+        before = min(lo, order - 1)
+        piece = points[lo - before : lo + BLOCK]
+        position = np.arange(lo, min(lo + BLOCK, len(points)))
+        text = np.searchsorted(ends, position, side="right")
+        ok = position - (ends[text] - size[text]) >= order - 1
+        yield piece, np.flatnonzero(ok) + before, text[ok]
 
 
-def chunk_grams(found: Iterable[tuple], p: QualityRules) -> Iterator[tuple[str, list[str], np.ndarray]]:
-    """Of language_words(), for each language with words: its name, the distinct n-grams of the highest order, their counts."""
-    for lang, _, distinct, codes, _ in found:
-        if not len(distinct):
-            continue
-        points, size = padded(distinct, p.order)
-        at = targets(size, p.order)
-        times = np.repeat(np.bincount(codes, minlength=len(distinct)), size)[at]
-        _, first, inverse = np.unique(gram_hashes(points, p.order, np.uint64(0))[at], return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=times)
-        grid = points[at[first][:, None] + np.arange(1 - p.order, 1)].astype("<u4")
-        raw = grid.tobytes().decode("utf-32-le", "surrogatepass")
-        yield lang, [raw[i : i + p.order] for i in range(0, len(raw), p.order)], n.astype(np.int64)
+def distinct_grams(piece: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, symbols (n x order) and counts of the distinct n-grams that end at the given positions."""
+    hashed, first, n = np.unique(gram_hashes(piece, order, np.uint64(0))[at], return_index=True, return_counts=True)
+    return hashed, piece[at[first][:, None] + np.arange(1 - order, 1)], n
+
+
+def _merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashed, grid, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    hashed, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    return hashed, grid[first], np.bincount(inverse, weights=n).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, p: QualityRules) -> DataFrame:
-    """lang, gram, n over all documents; summed in each chunk and each partition before the shuffle."""
+    """lang, gram, n over all documents; summed in each worker and each partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+
+        def out(lang: str) -> pa.RecordBatch:
+            _, grid, n = _merged(held.pop(lang))
+            raw = grid.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            grams = [raw[i : i + p.order] for i in range(0, len(raw), p.order)]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+
         for part in chunks(batches, "text"):
-            for lang, grams, n in chunk_grams(language_words(part), p):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+            for lang, _, points, size in sequences(part, p.order):
+                own = held.setdefault(lang, [])
+                own += [distinct_grams(piece, at, p.order) for piece, at, _ in blocks(points, size, p.order) if len(at)]
+                held[lang] = own = [_merged(own)]
+                if len(own[0][0]) > GATHERED:
+                    yield out(lang)
+        for lang in list(held):
+            yield out(lang)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -144,88 +167,6 @@ class HashArray:
         return out
 
 
-def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
-    """Of counts 1, 2, and 3 or more, from how many n-grams have counts 1 to 4 (Chen and Goodman, 1999)."""
-    n = [0, *(of_counts.get(k, 0) for k in range(1, 5))]
-    if not n[1] or not n[2]:
-        return 0.5, 0.75, 0.9
-    y = n[1] / (n[1] + 2 * n[2])
-    raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * y for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
-
-
-@dataclass
-class KneserNey:
-    """shares: n-gram to discounted share; weights: context to back-off weight; floor: of an unseen symbol, by language."""
-
-    order: int
-    shares: HashArray
-    weights: HashArray
-    floor: dict[str, float]
-
-    def log_probabilities(self, points: np.ndarray, size: np.ndarray, lang: str) -> np.ndarray:
-        """Natural logarithm of the probability of each word (its characters and its end)."""
-        at, seed = targets(size, self.order), lang_seed(lang)
-        p = np.full(len(at), self.floor.get(lang, 1e-6), np.float64)
-        context = np.full(len(points), mix(np.array([0], np.uint64) ^ seed)[0], np.uint64)
-        for n in range(1, self.order + 1):
-            own = gram_hashes(points, n, seed)
-            p = self.shares.get(own[at], 0.0) + self.weights.get(context[at - 1], 1.0) * p
-            context = own
-        word = np.repeat(np.arange(len(size)), size)[at]
-        return np.bincount(word, weights=np.log(np.maximum(p, 1e-12)), minlength=len(size))
-
-
-def fit(docs: DataFrame, p: QualityRules) -> KneserNey:
-    """A model for one process: what comes to the driver is at most p.entries rows and their contexts."""
-    level = stored(gram_counts(docs, p), "grams")
-    # A count to keep the highest order within the bound; lower orders have fewer n-grams than it.
-    sizes = sorted((r.n, r.c) for r in level.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).collect())
-    total, least = sum(c for _, c in sizes), 1
-    for n, c in sizes:
-        if total > p.entries // 2:
-            total, least = total - c, n + 1
-    keys, shares, contexts, weights, floor = [], [], [], [], {}
-    for n in range(p.order, 0, -1):
-        few = level.groupBy("lang", F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("c")).collect()
-        of_counts: dict[str, dict[int, int]] = {}
-        for r in few:
-            of_counts.setdefault(r.lang, {})[r.n] = r.c
-        by_lang = {lang: discounts(c) for lang, c in of_counts.items()}
-        context = F.substring("gram", 1, n - 1) if n > 1 else F.lit("")
-        sums = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
-        kept = level.filter(F.col("n") >= (least if n == p.order else 1)).withColumn("context", context)
-        rows = kept.join(sums, ["lang", "context"]).select("lang", "context", "gram", "n", "total").toPandas()
-        if len(rows) > 2 * p.entries:
-            raise ValueError(f"the model has {len(rows)} entries at order {n}; the bound is {p.entries}")
-        if len(rows):
-            cut = np.stack([np.array([by_lang[x][k] for x in rows.lang]) for k in range(3)], 1)[np.arange(len(rows)), np.minimum(rows.n, 3).to_numpy() - 1]
-            share = ((rows.n - cut) / rows.total).to_numpy()
-            rows["share"] = share
-            for lang, own in rows.groupby("lang"):
-                seed = lang_seed(lang)
-                keys.append(_of(own.gram, n, seed))
-                shares.append(own.share.to_numpy())
-                left = own.groupby("context").share.sum()
-                contexts.append(_of(left.index, n - 1, seed))
-                weights.append(1 - left.to_numpy())
-                if n == 1:
-                    floor[lang] = 1 / (len(own) + 1)
-        if n > 1:
-            level = level.groupBy("lang", F.substring("gram", 2, n - 1).alias("gram")).agg(F.count("*").alias("n"))
-    none = [np.zeros(0)]
-    table = lambda k, v: HashArray(np.concatenate(k or [np.zeros(0, np.uint64)]), np.concatenate(v or none))
-    return KneserNey(p.order, table(keys, shares), table(contexts, weights), floor)
-
-
-def _of(grams, n: int, seed: np.uint64) -> np.ndarray:
-    """Hashes of n-grams given as strings; n = 0 is the empty context."""
-    if n == 0:
-        return np.full(len(grams), mix(np.array([0], np.uint64) ^ seed)[0], np.uint64)
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return gram_hashes(points, n, seed)[n - 1 :: n]
-
-
 def rule_counts(column: pa.Array, p: QualityRules) -> tuple[np.ndarray, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     column = texts(column)
@@ -242,8 +183,9 @@ def rule_counts(column: pa.Array, p: QualityRules) -> tuple[np.ndarray, ...]:
     k = p.repeat_window
     at = np.flatnonzero(inside(offsets, k, len(flat)))
     runs = rolling(word_hashes(flat, 31), k)[at]
-    order = np.lexsort((runs, doc[at]))
-    same = (runs[order][1:] == runs[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
+    own = mix(runs ^ mix(doc[at].astype(np.uint64)))
+    order = np.argsort(own)
+    same = own[order][1:] == own[order][:-1]
     twice = np.zeros(len(at), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -254,45 +196,8 @@ def rule_counts(column: pa.Array, p: QualityRules) -> tuple[np.ndarray, ...]:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-SCANNED = "chunk long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", codes binary, words binary, grams array<string>, n array<long>"
-
-
-def _packed(codes: np.ndarray) -> bytes:
-    """A document's word codes, in ascending order, by their differences."""
-    return zlib.compress(np.diff(np.sort(codes), prepend=0).astype(np.uint32).tobytes(), 1)
-
-
-def _unpacked(held: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(held), np.uint32), dtype=np.int64)
-
-
-def scanned(docs: DataFrame, p: QualityRules) -> DataFrame:
-    """Rows of two kinds, to be stored: a chunk's documents (words null) with their counts and word codes, and for each of
-    its languages the distinct words that codes refer to and the n-grams with counts. Texts go no further."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[f.split()[1]]) for f in SCANNED.split(", ")])
-        for part in chunks(batches, "text"):
-            chunk, size = int.from_bytes(os.urandom(8), "little", signed=True), part.num_rows
-            packed: list[bytes | None] = [None] * size
-            found = list(language_words(part))
-            for _, at, _, codes, row in found:
-                ends = np.searchsorted(row, at, side="right")
-                for d, begin, end in zip(at.tolist(), np.searchsorted(row, at).tolist(), ends.tolist(), strict=True):
-                    packed[d] = _packed(codes[begin:end])
-            none = [pa.nulls(size, t) for t in schema.types[-3:]]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * size), part.column("doc_id"), part.column("lang"), *map(pa.array, rule_counts(part.column("text"), p)), pa.array(packed, pa.binary()), *none], schema=schema)
-            dictionaries = {lang: zlib.compress(" ".join(distinct.to_pylist()).encode(), 1) for lang, _, distinct, _, _ in found}
-            for lang, grams, n in chunk_grams(found, p):
-                row = {"chunk": chunk, "lang": lang, "words": dictionaries[lang], "grams": grams, "n": n}
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
-
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return kept.mapInArrow(run, SCANNED)
-
-
 def _discounts(level: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: discounts() of each language."""
+    """lang, d1, d2, d3: of counts 1, 2, and 3 or more, from how many n-grams have counts 1 to 4 (Chen and Goodman, 1999)."""
     few = level.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)])
     y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
     usual = (F.col("c1") > 0) & (F.col("c2") > 0)
@@ -322,49 +227,89 @@ def gram_probabilities(level: DataFrame, p: QualityRules) -> DataFrame:
     return known
 
 
-MEASURED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", log_perplexity double"
+def model_blocks(known: DataFrame, p: QualityRules) -> Iterator[HashArray]:
+    """The model (lang, gram, p) in sorted hash arrays, each of about p.block_entries: n-gram to log probability. Only one
+    at a time is on the driver. There is at least one, if an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            seeds = np.array([lang_seed(x) for x in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
+            raw = "".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass")
+            keys = gram_hashes(np.frombuffer(raw, np.uint32), p.order, np.uint64(0))[p.order - 1 :: p.order]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(keys ^ seeds).view(np.int64)), batch.column("log_p")], ["key", "log_p"])
+
+    count = max(1, -(-known.count() // p.block_entries))
+    rows = known.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("log_p"))
+    for i in range(count):
+        own = rows.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(count)) == i)
+        t = own.mapInArrow(run, "key long, log_p float").toArrow()
+        yield HashArray(t["key"].to_numpy().view(np.uint64), t["log_p"].to_numpy())
+
+
+def log_probability(part: pa.RecordBatch, model: HashArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the sum of its n-grams' logarithms that the block has, and the number of all its n-grams."""
+    total, count = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+    for lang, rows, points, size in sequences(part, order):
+        count[rows], seed = size - order + 1, lang_seed(lang)
+        for piece, at, text in blocks(points, size, order):
+            hashed, inverse = np.unique(gram_hashes(piece, order, np.uint64(0))[at], return_inverse=True)
+            logs = model.get(mix(hashed ^ seed), 0.0)[inverse]
+            total[rows] += np.bincount(text, weights=logs, minlength=len(rows))
+    return total, count
+
+
+COUNTED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", n_symbols_scored long, log_p double"
 
 
 def measured(docs: DataFrame, p: QualityRules) -> DataFrame:
     """doc_id, lang, the fixed counts, and log_perplexity (per character; null without words)."""
-    rows = stored(scanned(docs, p), "scanned", compression="zstd")
-    grams = rows.filter("grams IS NOT NULL").select("chunk", "lang", F.explode(F.arrays_zip("grams", "n")).alias("g")).select("chunk", "lang", F.col("g.grams").alias("gram"), F.col("g.n").alias("n"))
-    level = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    level = stored(gram_counts(docs, p), "grams")
     known = stored(gram_probabilities(level, p), "probabilities")
     release(level)
-    # Both sides are dealt by n-gram at every size: the model grows with the corpus, so it is never broadcast.
-    answers = grams.select("chunk", "lang", "gram").join(known.hint("merge"), ["lang", "gram"]).select(F.col("chunk").alias("asked"), F.col("lang").alias("language"), "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
-
-    def score(held: pa.Table, answers_: pa.Table) -> pa.Table:
-        part, of_language = held.filter(pc.is_null(held["words"])), {}
-        for row in held.filter(pc.is_valid(held["words"])).select(["lang", "words"]).to_pylist():
-            own = answers_.filter(pc.equal(answers_["language"], row["lang"]))
-            table = HashArray(_of(own["gram"].to_pylist(), p.order, np.uint64(0)), own["log_p"].to_numpy())
-            points, size = padded(pa.array(zlib.decompress(row["words"]).decode().split(" ")), p.order)
-            at = targets(size, p.order)
-            found = table.get(gram_hashes(points, p.order, np.uint64(0))[at], np.nan)
-            logs = np.bincount(np.repeat(np.arange(len(size)), size)[at], weights=found, minlength=len(size))
-            of_language[row["lang"]] = logs, size - p.order + 1
-        value = []
-        for lang, packed in zip(part["lang"].to_pylist(), part["codes"].to_pylist(), strict=True):
-            codes = _unpacked(packed)
-            logs, symbols = of_language[lang or NO_LANG] if len(codes) else (np.zeros(0), np.zeros(0))
-            value.append(-logs[codes].sum() / symbols[codes].sum() if len(codes) else None)
-        return part.select(["doc_id", "lang", *COLUMNS]).append_column("log_perplexity", pa.array(value, pa.float64()))
-
-    kept = rows.select("chunk", "doc_id", "lang", *COLUMNS, "codes", "words")
-    return kept.groupBy("chunk").cogroup(answers.groupBy("asked")).applyInArrow(score, MEASURED)
+    model = list(map(docs.sparkSession.sparkContext.broadcast, model_blocks(known, p)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.lit(0.0).alias("log_p"))
+
+    def added(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in chunks(batches, "text"):
+                total, _ = log_probability(part, held.value, p.order)
+                yield part.set_column(3, "log_p", pa.array(part.column("log_p").to_numpy() + total))
+
+        return run
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            total, count = log_probability(part, model[-1].value, p.order)
+            counts = map(pa.array, rule_counts(part.column("text"), p))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *counts, pa.array(count), pa.array(part.column("log_p").to_numpy() + total)], [f.split()[0] for f in COUNTED.split(", ")])
+
+    for held in model[:-1]:  # stored in between, so that a worker holds one block
+        rows = stored(rows.mapInArrow(added(held), rows.schema), "summed", compression="zstd")
+    scored = rows.mapInArrow(last, COUNTED)
+    return scored.withColumn("log_perplexity", F.round(-F.col("log_p") / F.nullif("n_symbols_scored", F.lit(0)), 6)).drop("log_p")
+
+
+def bands(passed: DataFrame, p: QualityRules, *by: str) -> DataFrame:
+    """The columns by, lower, upper: of rows of log_perplexity, where there are enough of them."""
+    q = passed.groupBy(*by).agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= p.least_docs)
+    # 0.6745: quartile of a normal distribution, in deviations. 1e-3: for texts that are all alike.
+    side = lambda a, b: F.greatest((F.col("q")[b] - F.col("q")[a]) / 0.6745, F.lit(1e-3))
+    return q.select(*by, F.col("q")[1].alias("middle"), side(0, 1).alias("below"), side(1, 2).alias("above"))
 
 
 def judge_quality(docs: DataFrame, p: QualityRules | None = None) -> DataFrame:
     """doc_id, lang, text -> a row per document: the counts, base_failed, log_perplexity, lower, upper, kept."""
     p = p or QualityRules()
-    rows = stored(measured(docs, p), "measured")
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.repeat_percent * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("language", F.coalesce("lang", F.lit(NO_LANG)))
-    q = rows.filter(~F.col("base_failed")).groupBy("language").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= p.least_docs)
-    bands = q.select("language", F.col("q")[0].alias("first"), F.col("q")[1].alias("third"))
-    reach = (F.col("third") - F.col("first")) * p.reach * (1 + p.spread / F.sqrt(F.greatest("n_words", F.lit(1))))
-    rows = rows.join(bands, "language", "left").withColumns({"lower": F.col("first") - reach, "upper": F.col("third") + reach})
+    rows = stored(measured(docs, p).withColumn("base_failed", failed).withColumns({"language": F.coalesce("lang", F.lit(NO_LANG)), "octave": F.floor(F.log2(F.greatest("n_symbols_scored", F.lit(1)))).cast("int")}), "measured")
+    # Copies count once, so that no group of them makes a band of its own.
+    passed = rows.filter(~F.col("base_failed")).select("language", "octave", "log_perplexity").distinct()
+    exact, whole = bands(passed, p, "language", "octave"), bands(passed, p, "language")
+    wide = whole.select("language", *(F.col(c).alias(f"all_{c}") for c in ("middle", "below", "above")))
+    # As many rows as languages times octaves; broadcast if that was counted to be few, else joined by shuffling.
+    known = stored(passed.select("language", "octave").distinct().join(wide, "language").join(exact, ["language", "octave"], "left"), "bands")
+    edges = known.select("language", "octave", (F.coalesce("middle", "all_middle") - p.reach * F.coalesce("below", 2 * F.col("all_below"))).alias("lower"), (F.coalesce("middle", "all_middle") + p.reach * F.coalesce("above", 2 * F.col("all_above"))).alias("upper"))
+    rows = rows.join(F.broadcast(edges) if edges.count() <= 10_000 else edges, ["language", "octave"], "left")
     ok = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return rows.select("doc_id", *COLUMNS, "base_failed", (~F.col("base_failed") & ok).alias("kept"), "log_perplexity", "lower", "upper")
