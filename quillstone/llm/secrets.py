@@ -1,8 +1,9 @@
 """Secret scan: three fixed patterns, and random strings found by how badly a public BPE vocabulary compresses them.
 
 Text a vocabulary was made for needs one token for several characters; a random string needs one for one or two.
-Runs of credential characters whose characters-per-token ratio is low are reported, unless they are known digests
-(hex of a digest's length), UUIDs, plain numbers, dates or versions, or overlap a pattern's span.
+Runs of credential characters, less what the patterns found, are reported if their characters-per-token ratio is low;
+of a run that is not, the parts between slashes and equals signs are looked at, and of those the parts between dots,
+dashes and underscores. Known digests (hex of a digest's length), UUIDs, plain numbers, dates and versions are left out.
 
 Null and empty texts have no spans. Spans are in code points of the whole text, end exclusive; repeated rows each
 get their own row. One narrow stage: no shuffle, and a worker holds one chunk of texts at a time.
@@ -25,7 +26,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: A run is taken whole, then cut at the first kind of separator, then at the second.
+PARTS = (re.compile(r"[^/=]+"), re.compile(r"[A-Za-z0-9+]+"))
+SEPARATORS = "._=/+-"
 MIN_ASSIGN = 12
 #: Hex digits of md5, sha1, sha224, sha256, sha384 and sha512 digests.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
@@ -35,11 +39,15 @@ HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 
 @dataclass(frozen=True)
 class SecretScan:
-    """max_ratio: characters per token below which a run is random; max_alpha_ratio: the same for runs of letters only."""
+    """least: characters of a run with letters and digits; max_ratio: characters per token below which it is random.
+    least_alpha, max_alpha_ratio: the same for letters only. Of random strings over a-z the ratio is 1.67 on average, of
+    letters and digits 1.33; words of that many letters have 2 or more."""
 
     vocabulary: str
+    least: int = 16
     max_ratio: float = 1.8
-    max_alpha_ratio: float = 1.5
+    least_alpha: int = 20
+    max_alpha_ratio: float = 1.85
 
 
 @lru_cache(maxsize=2)
@@ -65,17 +73,46 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 def is_random(run: str, scan: SecretScan) -> bool:
     if KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(run)):
         return False
-    limit = scan.max_alpha_ratio if run.isalpha() else scan.max_ratio
-    return len(run) < limit * len(encoding(scan.vocabulary).encode_ordinary(run))
+    alpha = not any(c.isdigit() for c in run)
+    if len(run) < (scan.least_alpha if alpha else scan.least):
+        return False
+    return len(run) < (scan.max_alpha_ratio if alpha else scan.max_ratio) * len(encoding(scan.vocabulary).encode_ordinary(run))
+
+
+def random_parts(text: str, start: int, end: int, scan: SecretScan, level: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of the random parts of a run."""
+    while start < end and text[end - 1] in SEPARATORS:
+        end -= 1
+    while start < end and text[start] in SEPARATORS:
+        start += 1
+    if end - start < scan.least:
+        return
+    if is_random(text[start:end], scan):
+        yield start, 3, end
+    elif level < len(PARTS) and not KNOWN.fullmatch(text, start, end):
+        for m in PARTS[level].finditer(text, start, end):
+            yield from random_parts(text, m.start(), m.end(), scan, level + 1)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], scan: SecretScan) -> list[tuple[int, int, int]]:
-    found = []
+    """Base spans are in ascending order of their starts; one pass over them, put together, and the runs."""
+    taken: list[tuple[int, int]] = []
+    for start, _, end in base:
+        if taken and start <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], end))
+        else:
+            taken.append((start, end))
+    found, at = [], 0
     for m in RUN.finditer(text):
-        run = m[0].rstrip("._=-")
-        end = m.start() + len(run)
-        if len(run) >= 20 and not any(s < end and m.start() < e for s, _, e in base) and is_random(run, scan):
-            found.append((m.start(), 3, end))
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        here = at
+        while here < len(taken) and taken[here][0] < end:
+            found += random_parts(text, start, taken[here][0], scan)
+            start = taken[here][1]
+            here += 1
+        found += random_parts(text, start, end, scan)
     return found
 
 
