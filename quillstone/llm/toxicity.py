@@ -4,8 +4,8 @@ A text is read in overlapping windows of words, all of them; its score is that o
 enters as a hashed embedding of itself, the mean of hashed embeddings of its character trigrams, and its log odds among
 the learning rows. Learning alternates between picking the worst window of each learning text and training on those.
 
-The learning rows are a bounded sample of labelled rows, picked by hash, about `sample` of either label; scoring covers
-every text to its end. Null and empty texts are one empty window and get its score. Labels that are null, or neither 0
+The learning rows are a bounded sample of labelled rows, the first by hash: about `sample` of either label, and of those as
+many whole texts as take `sample_bytes`; scoring covers every text to its end. Null and empty texts are one empty window and get its score. Labels that are null, or neither 0
 nor 1, are left out; without labels of both kinds every score is the share of label 1 (0 without any). Repeated rows and
 ties need no rule, as each row is scored alone. Empty tables give no rows. A worker holds one chunk of texts.
 """
@@ -27,8 +27,8 @@ from quillstone.llm.arrays import chunks, mix, string_hashes, texts, words
 
 @dataclass(frozen=True)
 class Toxicity:
-    """window, stride: in words. sample: learning rows of either label at most about. epochs: passes over
-    them, or more until least_steps batches. dropout: share of a batch's distinct words whose embeddings are left out. shrink: documents' worth of the
+    """window, stride: in words. sample: learning rows of either label at most about. sample_bytes: of their texts, at
+    most. epochs: passes over them, or more until least_steps batches. dropout: share of a batch's distinct words whose embeddings are left out. shrink: documents' worth of the
     overall odds that are mixed into a word's."""
 
     window: int = 32
@@ -38,6 +38,7 @@ class Toxicity:
     size: int = 8
     hidden: int = 8
     sample: int = 2500
+    sample_bytes: int = 64 << 20
     epochs: int = 7
     least_steps: int = 150
     dropout: float = 0.5
@@ -319,23 +320,31 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Network | float:
     if len(sizes) < 2:
         return float(1 in sizes)
     share = F.when(F.col("toxic") == 1, min(1.0, p.sample / sizes[1])).otherwise(min(1.0, p.sample / sizes[0]))
-    # At most about 2 * p.sample ids of a few bytes are broadcast; the texts stay where they are.
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(4 * p.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # Ids of a few bytes, four times the sample at most, are broadcast; the texts stay where they are.
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).filter(F.col("draw") < share * 1_000_000)
+    chosen = drawn.groupBy("doc_id", "draw").agg(F.max("toxic").alias("toxic")).orderBy("draw", "doc_id").limit(4 * p.sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     prior = sizes[1] / (sizes[0] + sizes[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        model: Network | float = prior
-        if held:
-            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        held, left = [], p.sample_bytes
+        for part in chunks(batches, "text"):
+            ends = np.cumsum(pc.binary_length(part.column("text")).to_numpy())
+            kept = int(np.searchsorted(ends, left, side="right"))
+            held.append(part.slice(0, kept))
+            left -= int(ends[kept - 1]) if kept else 0
+            if kept < part.num_rows:
+                break
+        t = pa.Table.from_batches(held) if held else None
+        if t is not None and t.num_rows:
             label = t["toxic"].to_numpy()
-            if 0 < label.sum() < len(label):
-                model = train(t["text"].combine_chunks(), label, p, prior)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+            model = train(t["text"].combine_chunks(), label, p, prior) if 0 < label.sum() < len(label) else prior
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    # Trained in one executor task, not on the driver: the bounded sample is all that it holds.
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    # Trained in one executor task, not on the driver: the bounded sample is all that it holds. Without documents it is
+    # the share of label 1.
+    trained = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "text").mapInArrow(run, "model binary").first()
+    return pickle.loads(trained[0]) if trained else prior
 
 
 def text_scores(column: pa.Array, net: Network | float) -> tuple[np.ndarray, np.ndarray]:

@@ -46,6 +46,30 @@ def test_gradient_is_that_of_the_loss():
         assert abs((up - down) / 6e-2 - (g[k] * direction).sum()) < 2e-4, k
 
 
+def test_logits_are_those_of_a_plain_forward_pass():
+    """Window by window and step by step, both directions, then attention."""
+    column = pa.array(["you bad old fool go home", "what a day", "", "so"])
+    distinct, codes, offsets = encoded(column)
+    v, net = Vocabulary(distinct, SMALL), Network.fresh(SMALL)
+    net.odds = (np.sort(v.hashes)[:3], np.array([1.5, -2, 0.5], np.float32))
+    first, size, _ = windows(offsets, SMALL)
+    x, w, h = net.inputs(v), net.w, SMALL.hidden
+    got = net.logits(x, cells(codes, first, size, len(distinct), SMALL))
+    for z, (f, n) in zip(got, zip(first, size, strict=True), strict=True):
+        states = {}
+        for side, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                a, b = x[codes[f + t]] @ w[f"x{side}"] + w[f"c{side}"], s @ w[f"h{side}"]
+                update, reset = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+                s = update * s + (1 - update) * np.tanh(a[2 * h :] + reset * b[2 * h :])
+                states[side, t] = s
+        hidden = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(n)]).reshape(n, 2 * h)
+        e = np.exp(hidden @ w["attention"])
+        pool = (e / e.sum()) @ hidden if n else np.zeros(2 * h)
+        assert abs(float(pool @ w["out"] + w["bias"][0]) - float(z)) < 1e-5
+
+
 def test_calibration_meets_the_prior():
     rng = np.random.default_rng(1)
     label = rng.integers(0, 2, 4000)
@@ -65,6 +89,9 @@ def test_edges(spark):
         assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in score(docs, fit(docs, labels.filter("toxic = 1"), p)).collect()} == {1.0}
     assert score(docs.limit(0), fit(docs, labels, p)).collect() == []
+    assert fit(docs.limit(0), labels, p) == 0.4
+    # The sample's bytes are bounded: without room for any text the score is the share of label 1.
+    assert {r.score for r in score(docs, fit(docs, labels, Toxicity(sample_bytes=0))).collect()} == {0.4}
 
 
 def test_query(spark):
