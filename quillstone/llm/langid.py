@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrays import chunks, mix, texts, words
@@ -28,7 +28,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageId:
-    """buckets: hashed features. centroids: per language. sample: learning rows per language, at most about this many,
+    """buckets: hashed features. centroids: per language. sample: learning rows per language, at most, the first by hash,
     that the centroids are clustered from. quantile: of the learning rows' cosines, below which a text is rejected."""
 
     buckets: int = 4096
@@ -146,15 +146,17 @@ def fit(rows: DataFrame, p: LanguageId) -> Centroids | None:
                 yield pa.RecordBatch.from_arrays([langs.slice(at, len(v)), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "vector"])
                 at += len(v)
 
-    # A row is in the sample by its hash, with the probability that gives its language about p.sample rows.
+    # The first p.sample rows of each language by hash; the filter before leaves little more than those to be ranked.
     share = F.lit(0.0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, p.sample / size))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < share * 1_000_000)
+    draw = F.xxhash64("doc_id", "lang", "text")
+    drawn = rows.withColumn("draw", F.pmod(draw, F.lit(1_000_000))).filter(F.col("draw") < 2 * share * 1_000_000)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", draw))
+    chosen = drawn.withColumn("rank", rank).filter(F.col("rank") <= p.sample).select("lang", "text")
     held: dict[str, list[np.ndarray]] = {}
     for r in chosen.mapInArrow(run, "lang string, vector binary").toLocalIterator():
-        if len(own := held.setdefault(r.lang, [])) < 2 * p.sample:
-            own.append(np.frombuffer(r.vector, np.float16).astype(np.float32))
+        held.setdefault(r.lang, []).append(np.frombuffer(r.vector, np.float16).astype(np.float32))
     centres, langs, least = [], [], []
     for lang in sorted(held):
         vectors = np.stack(held[lang])
