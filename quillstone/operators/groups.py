@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import similarity as sim
 from quillstone.functions.text import city
+from quillstone.operators.pairs import average_rank
 
 
 def s1_blocks(s1: DataFrame, most: int = 2000) -> DataFrame:
@@ -27,6 +28,42 @@ def block_split(blocks: DataFrame, most: int, n_val: int) -> DataFrame:
     return blocks.join(val, "block", "left").select("entity_id", F.coalesce("part", F.lit("train")).alias("part"))
 
 
+def competitor_owners(scored: DataFrame, truth: DataFrame, val: DataFrame, least: float = 0.05) -> DataFrame:
+    """s1_id of the S1 outside the validation part that own a record which one of its S1 scores `least` or more: they
+    compete for it, though they are not measured."""
+    held = val.select(F.col("entity_id").alias("s1_id"))
+    hot = scored.filter(F.col("p") >= least).join(held, "s1_id", "left_semi").select(F.col("cand_id").alias("match_id")).distinct()
+    return truth.filter("match_id IS NOT NULL").join(hot, "match_id", "left_semi").select("s1_id").distinct().join(held, "s1_id", "left_anti")
+
+
+def with_competitors(scored: DataFrame, truth: DataFrame, val: DataFrame, least: float = 0.05) -> DataFrame:
+    """Scored pairs of the validation S1, and those of their competitors with label 0, for exclusive decisions."""
+    held = val.select(F.col("entity_id").alias("s1_id"))
+    own = scored.join(held, "s1_id", "left_semi")
+    others = scored.join(competitor_owners(scored, truth, val, least), "s1_id", "left_semi").withColumn("label", F.lit(0))
+    return own.unionAll(others)
+
+
+def train_parts(blocks: DataFrame, most: int, n_val: int, n_train: int, seed: int = 42) -> DataFrame:
+    """entity_id, part: val by whole blocks, train the first n_train others by hash, every twentieth of those stop (for
+    early stopping), and rest."""
+    split = block_split(blocks, most, n_val)
+    draw = F.xxhash64("entity_id", F.lit(seed))
+    others = split.filter("part = 'train'").select("entity_id").orderBy(draw, "entity_id").limit(n_train).withColumn("use", F.lit(1))
+    stop = F.pmod(F.xxhash64("entity_id", F.lit(seed + 1)), F.lit(20)) == 0
+    part = F.when(F.col("part") == "val", "val").when(F.col("use").isNull(), "rest").when(stop, "stop").otherwise("train")
+    return split.join(others, "entity_id", "left").select("entity_id", part.alias("part"))
+
+
+def scorer_context(scored: DataFrame, second: DataFrame, low: float = 0.02, high: float = 0.995) -> DataFrame:
+    """For pairs in the band with a second score: logit, p_gap and s1_nhi from all of an S1's pairs, and the second score's
+    average rank, gap to the best, and the size of the band."""
+    w = Window.partitionBy("s1_id")
+    every = scored.withColumns({"p_gap": F.round(F.max("p").over(w) - F.col("p"), 6), "s1_nhi": F.count_if(F.col("p") >= 0.5).over(w)})
+    band = every.filter((F.col("p") >= low) & (F.col("p") < high)).join(second.select("s1_id", "cand_id", "ce"), ["s1_id", "cand_id"])
+    return band.withColumns({"lp": F.round(sim.logit(F.col("p")), 6), "ce_rank": average_rank("ce").cast("double"), "ce_gap": F.round(F.max("ce").over(w) - F.col("ce"), 6), "n_band": F.count("*").over(w)})
+
+
 def stage2_context(scored: DataFrame, least: float = 0.05) -> DataFrame:
     """Each pair's place among its S1's candidates, among the S1 of its block that compete for its record, and the S1's
     best other candidate (ref, p_ref)."""
@@ -57,7 +94,7 @@ def stage2_consistency(context: DataFrame, pool: DataFrame) -> DataFrame:
     text = lambda n, key: pool.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in ("name_full", "name_core", "addr")])
     rows = context.select("s1_id", "cand_id", "ref").join(text(1, "cand_id"), "cand_id").join(text(2, "ref"), "ref", "left")
     pair = lambda f, a: F.when(F.col("ref").isNull(), F.lit(-1.0)).otherwise(f(F.col(f"{a}_1"), F.col(f"{a}_2")))
-    return rows.select("s1_id", "cand_id", pair(sim.sim_ratio, "name_core").alias("s_nc_ratio"), pair(sim.sim_token_set, "name_core").alias("s_nc_tset"), pair(sim.sim_token_set, "addr").alias("s_ad_tset"), pair(sim.sim_token_sort, "name_full").alias("s_nf_tsort"))
+    return rows.select("s1_id", "cand_id", pair(sim.sim_ratio, "name_core").alias("ref_nc_ratio"), pair(sim.sim_token_set, "name_core").alias("ref_nc_tset"), pair(sim.sim_token_set, "addr").alias("ref_ad_tset"), pair(sim.sim_token_sort, "name_full").alias("ref_nf_tsort"))
 
 
 def band_overlay(scored: DataFrame, rescored: DataFrame, low: float = 0.02, high: float = 0.995) -> DataFrame:

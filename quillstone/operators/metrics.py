@@ -54,21 +54,54 @@ def loss_buckets(pairs: DataFrame, selected: DataFrame, truth: DataFrame) -> Dat
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def loss_ablation(pairs: DataFrame, selected: DataFrame, counts: DataFrame) -> DataFrame:
-    """Macro F if false positives were left out, if missed candidates were chosen, and if both."""
+def s1_categories(pairs: DataFrame, selected: DataFrame, counts: DataFrame, truth: DataFrame) -> DataFrame:
+    """category, n, lost: what an S1's score suffers from first (all S1 without a match are together), and the macro F
+    that its category costs."""
+    true = truth.filter("match_id IS NOT NULL").select("s1_id", F.col("match_id").alias("cand_id")).distinct()
+    missed = true.join(pairs.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").groupBy("s1_id").agg(F.count("*").alias("n_bm"))
+    rows = per_s1(selected, counts).join(missed, "s1_id", "left").na.fill(0, ["n_bm"])
+    n_fn = F.col("n_true") - F.col("tp") - F.col("n_bm")
+    category = F.when(F.col("n_true") == 0, "singleton_fp").when(F.col("tp") == 0, "no_tp").when(F.col("n_pred") > F.col("tp"), "has_fp").when(F.col("n_bm") > 0, "block_miss_only").when(n_fn > 0, "model_fn_only").otherwise("perfect")
+    total = counts.agg(F.count("*").alias("all_s1"))
+    per = rows.groupBy(category.alias("category")).agg(F.count("*").alias("n"), F.sum(1 - F.col("f")).cast("double").alias("lost"))
+    return per.join(F.broadcast(total), F.lit(True)).select("category", "n", F.round(F.col("lost") / F.col("all_s1"), 6).alias("lost"))
+
+
+def loss_ablation(pairs: DataFrame, selected: DataFrame, counts: DataFrame, truth: DataFrame) -> DataFrame:
+    """Macro F if false positives were left out, if missed candidates were chosen, if both, and if the true pairs that
+    blocking lost were chosen too."""
     no_fp = selected.filter("label = 1")
     missed = pairs.filter("label = 1").join(selected.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
+    whole = truth.filter("match_id IS NOT NULL").select("s1_id", F.col("match_id").alias("cand_id"), F.lit(1).alias("label")).distinct()
     cols = ["s1_id", "cand_id", "label"]
-    cases = {"as_is": selected.select(*cols), "no_fp": no_fp.select(*cols), "no_fn": selected.select(*cols).unionAll(missed.select(*cols)), "perfect_model": no_fp.select(*cols).unionAll(missed.select(*cols))}
+    cases = {"as_is": selected.select(*cols), "no_fp": no_fp.select(*cols), "no_fn": selected.select(*cols).unionAll(missed.select(*cols)), "perfect_model": no_fp.select(*cols).unionAll(missed.select(*cols)), "perfect_blocking": whole}
     out = [macro_f05(s, counts).select(F.lit(name).alias("what"), "f05") for name, s in cases.items()]
     return reduce(DataFrame.unionAll, out)
 
 
-def fp_origin(selected: DataFrame, truth: DataFrame) -> DataFrame:
-    """origin, n of false positives: records that another S1 owns, or distractors that none owns."""
-    owner = truth.filter("match_id IS NOT NULL").select(F.col("match_id").alias("cand_id"), F.lit(1).alias("owned")).distinct()
-    rows = selected.filter("label = 0").join(owner, "cand_id", "left")
-    return rows.groupBy(F.when(F.col("owned").isNull(), "distractor").otherwise("other_s1").alias("origin")).agg(F.count("*").alias("n"))
+def fp_origin(selected: DataFrame, truth: DataFrame, val: DataFrame) -> DataFrame:
+    """origin, n, mean_p of false positives: records that another S1 of the validation part owns, or one outside it, or none."""
+    owner = truth.filter("match_id IS NOT NULL").select(F.col("match_id").alias("cand_id"), F.col("s1_id").alias("owner")).distinct()
+    held = val.select(F.col("entity_id").alias("owner"), F.lit(1).alias("in_val"))
+    rows = selected.filter("label = 0").join(owner, "cand_id", "left").join(held, "owner", "left")
+    origin = F.when(F.col("owner").isNull(), "distractor").when(F.col("in_val") == 1, "other_val_s1").otherwise("non_val_s1")
+    return rows.groupBy(origin.alias("origin")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("p").cast("decimal(9,6)")).cast("double") / F.count("*"), 6).alias("mean_p"))
+
+
+def match_numbers(lists: DataFrame, population: DataFrame, most: int = 7) -> DataFrame:
+    """country_n, k (`most` and more together), share of the country's S1 with k selected records."""
+    k = lists.groupBy("s1_id").agg(F.count("*").alias("k"))
+    rows = population.select(F.col("entity_id").alias("s1_id"), "country_n").join(k, "s1_id", "left").select("country_n", F.least(F.coalesce("k", F.lit(0)), F.lit(most)).cast("long").alias("k"))
+    sizes = rows.groupBy("country_n").agg(F.count("*").alias("n"))
+    return rows.groupBy("country_n", "k").agg(F.count("*").alias("c")).join(sizes, "country_n").select("country_n", "k", F.round(F.col("c") / F.col("n"), 6).alias("share"))
+
+
+def selection_change(a: DataFrame, b: DataFrame, population: DataFrame) -> DataFrame:
+    """country_n, changed (share of S1 whose selections differ), and the mean numbers k_a and k_b."""
+    both = a.select("s1_id", "cand_id", F.lit(1).alias("in_a")).join(b.select("s1_id", "cand_id", F.lit(1).alias("in_b")), ["s1_id", "cand_id"], "full")
+    per = both.groupBy("s1_id").agg(F.count("in_a").alias("k_a"), F.count("in_b").alias("k_b"), F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("other"))
+    rows = population.select(F.col("entity_id").alias("s1_id"), "country_n").join(per, "s1_id", "left").na.fill(0, ["k_a", "k_b", "other"])
+    return rows.groupBy("country_n").agg(F.round(F.count_if(F.col("other") > 0) / F.count("*"), 6).alias("changed"), F.round(F.avg("k_a"), 6).alias("k_a"), F.round(F.avg("k_b"), 6).alias("k_b"))
 
 
 def ensemble(scored: list[DataFrame], missing: float = 0.01, least: float = 0.02) -> DataFrame:

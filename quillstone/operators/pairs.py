@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import similarity as sim
 from quillstone.functions.maps import LEGAL
 from quillstone.functions.text import compact, house_number, initials, words
+from quillstone.sources.tables import settled, small
 
 FIELDS = ["name_full", "name_core", "name_skel", "addr", "postcode", "addr_nums", "country_n", "src"]
 LEGAL_TOKENS = sorted(set(LEGAL.values()))
@@ -26,19 +27,20 @@ def address_stop_tokens(s1: DataFrame, share: float = 0.002, least: int = 20) ->
 
 
 def name_vocabulary(s1: DataFrame) -> DataFrame:
-    return s1.select("country_n", F.explode(words(F.col("name_full"))).alias("token")).distinct()
+    """country_n, token: every word of an S1 core name."""
+    return s1.select("country_n", F.explode(words(F.col("name_core"))).alias("token")).distinct()
 
 
 def unknown_share(pool: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """entity_id, c_oov_frac: share of a pool record's name tokens that no S1 of its country has; once per record."""
-    rows = pool.select("entity_id", "country_n", F.explode(words(F.col("name_full"))).alias("token"))
+    rows = pool.select("entity_id", "country_n", F.explode(words(F.col("name_core"))).alias("token"))
     known = vocabulary.withColumn("known", F.lit(1))
     return rows.join(known, ["country_n", "token"], "left").groupBy("entity_id").agg(F.round(F.count_if(F.col("known").isNull()) / F.count("*"), 6).alias("c_oov_frac"))
 
 
 def joined(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with the fields of both records, suffixed 1 and 2."""
-    side = lambda df, key, n: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in FIELDS])
+    """Pairs with the fields of both records, suffixed 1 and 2; addr_core where they have it."""
+    side = lambda df, key, n: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in [*FIELDS, "addr_core"] if c in df.columns])
     return pairs.join(side(s1, "s1_id", 1), "s1_id").join(side(pool, "cand_id", 2), "cand_id")
 
 
@@ -91,15 +93,19 @@ def fuzzy_features(rows: DataFrame) -> DataFrame:
     }).drop("_cc_1", "_cc_2")
 
 
-def core_address(rows: DataFrame, stops: DataFrame) -> DataFrame:
-    """ad_core_tset on addresses without a country's stop tokens, and ad_core_empty. The stop tokens of a country are one
-    row; few tokens reach max(20, 0.2 %) of its records."""
-    lists = stops.groupBy("country_n").agg(F.collect_list("token").alias("stops"))
-    held = rows.join(lists, rows["country_n_1"] == lists["country_n"], "left").drop("country_n")
+def with_core_address(records: DataFrame, stops: DataFrame) -> DataFrame:
+    """addr_core: a record's address without its country's stop tokens, made once per record, before pairs are joined. The
+    stop tokens of a country are one row; few tokens reach max(20, 0.2 %) of its records."""
+    lists = small(stops.groupBy("country_n").agg(F.collect_list("token").alias("_stops")))
     none = F.array().cast("array<string>")
-    core = lambda n: F.array_join(F.filter(words(F.col(f"addr_{n}")), lambda t: ~F.array_contains(F.coalesce("stops", none), t)), " ")
-    held = held.withColumns({"_k1": core(1), "_k2": core(2)}).drop("stops")
-    return held.withColumns({"ad_core_tset": sim.sim_token_set(F.col("_k1"), F.col("_k2")), "ad_core_empty": flag((F.col("_k1") == "") | (F.col("_k2") == ""))}).drop("_k1", "_k2")
+    core = F.array_join(F.filter(words(F.col("addr")), lambda t: ~F.array_contains(F.coalesce("_stops", none), t)), " ")
+    return records.join(lists, "country_n", "left").withColumn("addr_core", core).drop("_stops")
+
+
+def core_address(rows: DataFrame) -> DataFrame:
+    """ad_core_tset on core addresses, and ad_core_empty."""
+    empty = flag((F.col("addr_core_1") == "") | (F.col("addr_core_2") == ""))
+    return rows.withColumns({"ad_core_tset": sim.sim_token_set(F.col("addr_core_1"), F.col("addr_core_2")), "ad_core_empty": empty})
 
 
 def frequency_features(rows: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
@@ -135,10 +141,11 @@ def anchors(rows: DataFrame, rank: str = "brank", most: int = 3) -> DataFrame:
 
 
 def anchor_votes(rows: DataFrame, rank: str = "brank") -> DataFrame:
-    """s1_id, cand_id, n_anc_hn (other anchors with a house number), hn_vote (share of them with this one's)."""
+    """s1_id, cand_id, n_anc_hn (other anchors with a house number, if this one has one), hn_vote (share of them with this
+    one's; null without)."""
     both = rows.join(anchors(rows, rank), "s1_id").filter("anchor_id <> cand_id")
+    n = F.count(F.when(F.col("hn_2").isNotNull(), F.col("a_hn")))
     same = F.count_if(F.col("a_hn") == F.col("hn_2"))
-    n = F.count("a_hn")
     return both.groupBy("s1_id", "cand_id").agg(n.alias("n_anc_hn"), F.when(n > 0, F.round(same / n, 6)).alias("hn_vote"))
 
 
@@ -153,10 +160,10 @@ def rerank_similarities(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> Dat
     """Five cheap similarities of wide candidates."""
     rows = joined(pairs, s1, pool).withColumns({"_1": compact(F.col("name_core_1")), "_2": compact(F.col("name_core_2")), "hn_1": house_number(F.col("addr_1")), "hn_2": house_number(F.col("addr_2"))})
     pair = lambda f, a: f(F.col(f"{a}_1"), F.col(f"{a}_2"))
-    return rows.withColumns({"r_cc_ratio": sim.sim_ratio(F.col("_1"), F.col("_2")), "r_nf_partial": pair(sim.sim_partial, "name_full"), "r_ad_tset": pair(sim.sim_token_set, "addr"), "r_nc_tset": pair(sim.sim_token_set, "name_core"), "r_hn_eq": (F.col("hn_1") == F.col("hn_2")).cast("int")}).drop("_1", "_2")
+    return rows.withColumns({"r_cc_ratio": sim.sim_ratio(F.col("_1"), F.col("_2")), "r_nf_part": pair(sim.sim_partial, "name_full"), "r_ad_tset": pair(sim.sim_token_set, "addr"), "r_nc_tset": pair(sim.sim_token_set, "name_core"), "r_hn_eq": (F.col("hn_1") == F.col("hn_2")).cast("int")}).drop("_1", "_2")
 
 
-#: The 69 inputs of the matcher.
+# The names of the matcher's 69 inputs, by kind.
 FEATURES = (
     "bscore bscore_norm brank bname baddr bname_norm baddr_norm brank_name brank_addr rr rr_rank nf_ratio nf_tset nf_tsort nf_partial nf_jw "
     "nc_ratio nc_tset nc_jw nc_first_eq ncc_ratio ncc_partial nsk_ratio nsk_tset ad_ratio ad_tset ad_partial ad_core_tset ad_core_empty "
@@ -171,7 +178,9 @@ def build_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFram
     """s1_id, cand_id and FEATURES. Pairs without a re-ranker's rr and rr_rank take bscore_norm and brank for them."""
     if "rr" not in pairs.columns:
         pairs = pairs.withColumns({"rr": F.col("bscore_norm"), "rr_rank": F.col("brank")})
-    rows = core_address(fuzzy_features(exact_features(joined(pairs, s1, pool))), address_stop_tokens(s1))
+    stops = address_stop_tokens(s1)
+    cored = with_core_address(s1, stops), with_core_address(pool, stops)
+    rows = settled(core_address(fuzzy_features(exact_features(joined(pairs, *cored)))), "pairs")
     rows = group_features(frequency_features(rows, s1, pool)).join(unknown_share(pool, name_vocabulary(s1)).withColumnRenamed("entity_id", "cand_id"), "cand_id", "left")
     rows = rows.join(anchor_votes(rows, "rr_rank"), ["s1_id", "cand_id"], "left").join(anchor_similarities(rows, "rr_rank"), ["s1_id", "cand_id"], "left")
     return rows.select("s1_id", "cand_id", *FEATURES)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.maps import KEY_TYPES
 from quillstone.functions.text import compact, words
+from quillstone.sources.tables import small
 
 
 @dataclass(frozen=True)
@@ -66,8 +67,9 @@ def document_frequencies(pool_keys: DataFrame) -> DataFrame:
 
 
 def key_weights(pool_keys: DataFrame, pool: DataFrame, p: Retrieval) -> DataFrame:
-    """KEY, df, idf of the keys that at most max_df records share; a country's size is one row of a broadcast."""
-    sizes = pool.groupBy("country_n").agg(F.count("*").alias("n"))
+    """KEY, df, idf of the keys that at most max_df records share; a country's size is one row, broadcast if there are
+    few."""
+    sizes = small(pool.groupBy("country_n").agg(F.count("*").alias("n")))
     idf = F.round(F.log((F.col("n") + 1).cast("double")) - F.log((F.col("df") + 1).cast("double")), 9).cast("decimal(18,9)")
     return document_frequencies(pool_keys).filter(F.col("df") <= p.max_df).join(sizes, "country_n").select(*KEY, "df", idf.alias("idf"))
 

@@ -13,24 +13,36 @@ from quillstone.functions import text
 from quillstone.operators import audit, decide, groups, learn, metrics, pairs, retrieval
 from quillstone.plans import oracles as o
 from quillstone.sources.records import Linkage, id_lists, long_truth
+from quillstone.sources.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 class Context:
-    """The linkage tables of a folder and what several queries derive from them. Normalised records and candidates are
-    persisted when first used (memory, then disk), so a session that runs many queries derives them once."""
+    """The linkage tables of a folder and what several queries derive from them. Normalised records, candidates
+    and trained scores are written to the shared folder when first used, so a session that runs many queries derives them
+    once and plans start from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         t = Linkage(spark, sf_dir)
         self.raw_s1, self.raw_pool, self.truth = t.s1, t.pool, t.truth
         self.raw = t.s1.unionAll(t.pool)
-        self.all = text.normalised(self.raw).persist()
-        self.s1, self.pool = self.all.filter("src = 'S1'"), self.all.filter("src <> 'S1'")
         # The sizes that the given SQL states; wide takes the reference's.
         self.p = retrieval.Retrieval(max_df=50, top_k=10, k_name=3, k_address=3)
 
+    @cached_property
+    def all(self) -> DataFrame:
+        return settled(text.normalised(self.raw), "normalised")
+
+    @property
+    def s1(self) -> DataFrame:
+        return self.all.filter("src = 'S1'")
+
+    @property
+    def pool(self) -> DataFrame:
+        return self.all.filter("src <> 'S1'")
+
     @cached_property
     def weights(self) -> DataFrame:
         return retrieval.key_weights(retrieval.block_keys(self.pool), self.pool, self.p)
@@ -45,33 +57,44 @@ class Context:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return retrieval.candidates(self.s1, self.pool, self.p).persist()
+        return settled(retrieval.candidates(self.s1, self.pool, self.p), "candidates")
 
     @cached_property
     def wide(self) -> DataFrame:
         """Candidates of the reference's sizes, before the re-ranker."""
-        return retrieval.candidates(self.s1, self.pool, retrieval.Retrieval()).persist()
+        return settled(retrieval.candidates(self.s1, self.pool, retrieval.Retrieval()), "wide")
 
     @cached_property
     def reranked(self) -> DataFrame:
         """Wide candidates with a trained score, of which the best are kept as the reference's final run does."""
-        rows = metrics.labelled(pairs.rerank_similarities(self.wide, self.s1, self.pool), self.truth).persist()
+        rows = settled(metrics.labelled(pairs.rerank_similarities(self.wide, self.s1, self.pool), self.truth), "similar")
         scored = learn.predict(learn.train_reranker(_learning(rows)), rows, learn.RERANK_FEATURES, "rr")
-        return retrieval.adaptive_top_k(scored, "rr", 40, 3, 0.002).persist()
+        return settled(retrieval.adaptive_top_k(scored, "rr", 40, 3, 0.002), "reranked")
 
     @cached_property
     def scored(self) -> DataFrame:
         """Candidates with a probability in closed form, and their labels."""
         p = F.round(0.02 + 0.96 * F.col("bscore_norm"), 6)
-        return metrics.labelled(self.candidates.select("s1_id", "cand_id", p.alias("p")), self.truth)
+        return settled(metrics.labelled(self.candidates.select("s1_id", "cand_id", p.alias("p")), self.truth), "scored")
 
-    @property
+    @cached_property
     def counts(self) -> DataFrame:
-        return metrics.truth_counts(self.s1, self.truth)
+        return settled(metrics.truth_counts(self.s1, self.truth), "counts")
+
+    @cached_property
+    def val(self) -> DataFrame:
+        """S1 of the validation part: entity_id, country_n."""
+        part = groups.block_split(groups.s1_blocks(self.s1, 20), 15, 300).filter("part = 'val'")
+        return settled(self.s1.join(part, "entity_id", "left_semi").select("entity_id", "country_n"), "val")
 
     @property
+    def labelled(self) -> DataFrame:
+        """Countries that decisions are tuned on: the validation part's, but France, whose labels are taken as unknown."""
+        return decide.labelled_countries(self.val.filter("country_n <> 'france'"))
+
+    @cached_property
     def selected(self) -> DataFrame:
-        return decide.apply_decision(self.scored, decide.Decision("threshold", 0.5, exclusive=True))
+        return settled(decide.apply_decision(self.scored, decide.Decision("threshold", 0.5, exclusive=True)), "selected")
 
     @property
     def joined(self) -> DataFrame:
@@ -130,7 +153,39 @@ _column("join_initials", lambda: text.join_initials(F.array_join(F.transform(tex
 
 @query()
 def transliterated_names(c: Context) -> DataFrame:
-    return c.raw.select("entity_id", text.transliterate("business_name").alias("ascii_name"))
+    return c.raw.select("entity_id", text.to_ascii(F.col("business_name")).alias("ascii_name"))
+
+
+LATIN, RENDERED = "abcdefghijklmnopqrstuvwxyz", "कखगघचछजझटठडढणतथदधनपफबभमयरल"
+_EDGE = r"""^[.,;:!?()\[\]{}"''`\-/&|।॥]+|[.,;:!?()\[\]{}"''`\-/&|।॥]+$"""
+_TOKENS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
+_INDIC = f""", ip AS (SELECT entity_id, translate(lower(business_name), '{LATIN}', '{RENDERED}') AS name FROM er_pool WHERE CAST(substr(entity_id, 4) AS BIGINT) % 3 = 0),
+ap AS (SELECT {_TOKENS.format("p.name")} AS a, {_TOKENS.format("s.business_name")} AS b FROM ip p JOIN er_gt g ON g.match_id = p.entity_id JOIN er_s1 s ON s.entity_id = g.s1_id),
+tl AS (SELECT regexp_replace(a[i], '{_EDGE}', '', 'g') AS token, regexp_replace(strip_accents(lower(b[i])), '[^a-z0-9]', '', 'g') AS latin FROM ap, unnest(range(1, len(a) + 1)) u(i) WHERE len(a) = len(b) AND regexp_matches(a[i], '[ऀ-෿]')),
+tc AS (SELECT token, latin, count(*) AS n FROM tl WHERE token <> '' AND latin <> '' GROUP BY ALL),
+dict AS (SELECT token, latin FROM (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, latin) AS r FROM tc) WHERE r = 1 AND n >= 2 AND n >= 0.5 * total)"""
+
+
+def _rendered(c: Context) -> DataFrame:
+    """Every third pool record, its name in letters of an Indic script."""
+    third = c.raw_pool.filter(F.substring("entity_id", 4, 10).cast("long") % 3 == 0)
+    return third.withColumn("business_name", F.translate(F.lower("business_name"), LATIN, RENDERED))
+
+
+@query(_over(o.TABLES + _INDIC, "SELECT token, latin FROM dict"))
+def indic_dictionary(c: Context) -> DataFrame:
+    return text.learned_dictionary(c.raw_s1, _rendered(c), c.truth)
+
+
+@query(_over(o.TABLES + _INDIC + f", w AS (SELECT entity_id, i, t[i] AS word FROM (SELECT entity_id, {_TOKENS.format('name')} AS t FROM ip), unnest(range(1, len(t) + 1)) u(i))", f"SELECT entity_id, string_agg(coalesce(CASE WHEN regexp_matches(word, '[ऀ-෿]') THEN latin END, word), ' ' ORDER BY i) AS name FROM w LEFT JOIN dict ON token = regexp_replace(word, '{_EDGE}', '', 'g') GROUP BY entity_id"))
+def latin_names(c: Context) -> DataFrame:
+    rows = _rendered(c)
+    return text.with_latin_names(rows, text.learned_dictionary(c.raw_s1, rows, c.truth)).select("entity_id", F.col("business_name").alias("name"))
+
+
+@query(_over(o.NORM, "SELECT entity_id, name_full || ' | ' || addr AS text FROM norm"))
+def scorer_texts(c: Context) -> DataFrame:
+    return c.all.select("entity_id", text.scorer_text().alias("text"))
 
 
 # Retrieval.
@@ -201,14 +256,13 @@ def wide_block_recall(c: Context) -> DataFrame:
     return retrieval.block_recall(c.wide, c.truth)
 
 
-# Similarities: over the names of each record's best candidate.
-BEST = "best AS (SELECT s1_id, cand_id, {x} AS x, {y} AS y FROM pairs WHERE brank = 1),"
+# Similarities: over the names of all candidates.
+BEST = "best AS (SELECT s1_id, cand_id, {x} AS x, {y} AS y FROM pairs),"
 
 
 def _similarity(name: str, f, field: str, body: str, cte: str = "") -> None:
     def run(c: Context) -> DataFrame:
-        rows = c.joined.filter("brank = 1")
-        return rows.select("s1_id", "cand_id", F.round(f(F.col(f"{field}_1"), F.col(f"{field}_2")), 6).alias(name))
+        return c.joined.select("s1_id", "cand_id", F.round(f(F.col(f"{field}_1"), F.col(f"{field}_2")), 6).alias(name))
 
     run.__name__ = name
     query(_over(f"{o.CANDIDATES}, {cte}", body) if body else None)(run)
@@ -240,12 +294,12 @@ def addr_stop_tokens(c: Context) -> DataFrame:
     return pairs.address_stop_tokens(c.s1)
 
 
-@query(_over(o.NORM, "SELECT DISTINCT country_n, token FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src = 'S1' AND token <> ''"))
+@query(_over(o.NORM, "SELECT DISTINCT country_n, token FROM norm, unnest(string_split(name_core, ' ')) u(token) WHERE src = 'S1' AND token <> ''"))
 def name_vocab(c: Context) -> DataFrame:
     return pairs.name_vocabulary(c.s1)
 
 
-@query(_over(o.NORM + ", v AS (SELECT DISTINCT country_n, token, 1 AS k FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src = 'S1' AND token <> '')", "SELECT entity_id, round(count(*) FILTER (k IS NULL) / count(*), 6) AS c_oov_frac FROM (SELECT entity_id, country_n, token FROM norm, unnest(string_split(name_full, ' ')) u(token) WHERE src <> 'S1' AND token <> '') LEFT JOIN v USING (country_n, token) GROUP BY entity_id"))
+@query(_over(o.NORM + ", v AS (SELECT DISTINCT country_n, token, 1 AS k FROM norm, unnest(string_split(name_core, ' ')) u(token) WHERE src = 'S1' AND token <> '')", "SELECT entity_id, round(count(*) FILTER (k IS NULL) / count(*), 6) AS c_oov_frac FROM (SELECT entity_id, country_n, token FROM norm, unnest(string_split(name_core, ' ')) u(token) WHERE src <> 'S1' AND token <> '') LEFT JOIN v USING (country_n, token) GROUP BY entity_id"))
 def oov_fraction(c: Context) -> DataFrame:
     return pairs.unknown_share(c.pool, pairs.name_vocabulary(c.s1))
 
@@ -295,7 +349,7 @@ def twin_better(c: Context) -> DataFrame:
     return pairs.group_features(rows, gaps=(), ranks=()).select("s1_id", "cand_id", "n_hn_eq_s1", "twin_better")
 
 
-@query(_over(o.CANDIDATES, "SELECT a.s1_id, a.cand_id, count(b.h2) AS n_anc_hn, CASE WHEN count(b.h2) > 0 THEN round(count(*) FILTER (b.h2 = a.h2) / count(b.h2), 6) END AS hn_vote FROM pairs a JOIN pairs b ON a.s1_id = b.s1_id AND b.brank <= 3 AND b.cand_id <> a.cand_id GROUP BY a.s1_id, a.cand_id"))
+@query(_over(o.CANDIDATES, "SELECT a.s1_id, a.cand_id, count(b.h2) FILTER (a.h2 IS NOT NULL) AS n_anc_hn, round(count(*) FILTER (b.h2 = a.h2) / nullif(count(b.h2) FILTER (a.h2 IS NOT NULL), 0), 6) AS hn_vote FROM pairs a JOIN pairs b ON a.s1_id = b.s1_id AND b.brank <= 3 AND b.cand_id <> a.cand_id GROUP BY a.s1_id, a.cand_id"))
 def anchor_votes(c: Context) -> DataFrame:
     return pairs.anchor_votes(pairs.exact_features(c.joined))
 
@@ -307,7 +361,14 @@ def pair_features_full(c: Context) -> DataFrame:
 
 @query()
 def rerank_similarities(c: Context) -> DataFrame:
-    return pairs.rerank_similarities(c.candidates, c.s1, c.pool).select("s1_id", "cand_id", "r_cc_ratio", "r_nf_partial", "r_ad_tset", "r_nc_tset", "r_hn_eq")
+    return pairs.rerank_similarities(c.candidates, c.s1, c.pool).select("s1_id", "cand_id", "r_cc_ratio", "r_nf_part", "r_ad_tset", "r_nc_tset", "r_hn_eq")
+
+
+_CITY = r"trim(regexp_replace(lower(coalesce(list_extract(string_split(business_address, ','), -2), '')), '\d', '', 'g'))"
+_BLOCKS = f", b0 AS (SELECT entity_id, country_n, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 1) AS b1, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 3) AS b3 FROM norm WHERE src = 'S1'), blocks AS (SELECT entity_id, country_n, CASE WHEN count(*) OVER (PARTITION BY b1) > 20 THEN b3 ELSE b1 END AS block FROM b0)"
+
+
+_SPLIT = _BLOCKS + ", z AS (SELECT block, count(*) AS n FROM blocks GROUP BY block HAVING count(*) <= 15), r AS (SELECT block, sum(n) OVER (ORDER BY md5(block), block ROWS UNBOUNDED PRECEDING) AS s FROM z), val AS (SELECT entity_id, country_n FROM blocks JOIN r USING (block) WHERE s <= 300)"
 
 
 # Decisions and evaluation.
@@ -369,17 +430,53 @@ def tuned_rules(c: Context) -> DataFrame:
     return decide.best_rules(decide.tune_grid(c.scored, c.counts, _TS))
 
 
+_RULES = f""", ths AS (SELECT CAST(round(0.05 + 0.025 * i, 3) AS DOUBLE) AS t FROM range(0, 37) r(i)), t1s AS (SELECT CAST(v AS DOUBLE) AS t1 FROM (VALUES (0.2), (0.3), (0.4), (0.5), (0.6)) x(v)), als AS (SELECT CAST(v AS DOUBLE) AS a FROM (VALUES (0.0), (0.1), (0.25), (0.5), (1.0), (2.0)) x(v)),
+bases AS (SELECT false AS excl, s1_id, cand_id, p, label FROM scored UNION ALL SELECT true, s1_id, cand_id, p, label FROM excl),
+rk AS (SELECT *, row_number() OVER (PARTITION BY excl, s1_id ORDER BY p DESC, cand_id) AS r FROM bases),
+f1 AS (SELECT excl, s1_id, label, p, r AS m, CAST(sum(CAST(p AS DECIMAL(9,6))) OVER (o ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS tp, CAST(sum(CAST(p AS DECIMAL(9,6))) OVER w AS DOUBLE) AS k, CAST(sum(CAST(round(ln(greatest(1 - p, 1e-6)), 9) AS DECIMAL(18,9))) OVER w AS DOUBLE) AS lp FROM rk WHERE p >= 0.02 WINDOW w AS (PARTITION BY excl, s1_id), o AS (PARTITION BY excl, s1_id ORDER BY r)),
+f2 AS (SELECT f1.*, a, round(1.25 * tp / (0.25 * (k + a) + m), 9) AS f FROM f1, als), f3 AS (SELECT *, max(f) OVER (PARTITION BY excl, s1_id, a) AS best FROM f2), f4 AS (SELECT *, min(CASE WHEN f = best THEN m END) OVER (PARTITION BY excl, s1_id, a) AS best_m FROM f3),
+ch AS (SELECT excl, 'threshold' AS mode, t, 1.0 AS t1, s1_id, label FROM rk JOIN ths ON p >= t UNION ALL SELECT excl, 'thr_top1', t, t1, s1_id, label FROM rk, ths, t1s WHERE t >= 0.5 AND t1 < t AND (p >= t OR (r = 1 AND p >= t1)) UNION ALL SELECT excl, 'expected_f', a, 1.0, s1_id, label FROM f4 WHERE best > exp(lp - a) AND m <= best_m),
+pr AS (SELECT excl, mode, t, t1, s1_id, count(*) AS n_pred, sum(label) AS tp FROM ch GROUP BY ALL),
+rules AS (SELECT excl, mode, t, CAST(t1 AS DOUBLE) AS t1, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(tp) AS BIGINT) AS tp, round((CAST(sum(CAST(round(1.25 * tp / (0.25 * n_true + n_pred), 9) AS DECIMAL(18,9))) AS DOUBLE) + (SELECT count(*) FROM counts WHERE n_true = 0) - count(*) FILTER (n_true = 0)) / (SELECT count(*) FROM counts), 6) AS f05 FROM pr JOIN counts USING (s1_id) GROUP BY ALL)"""
+
+
+@query(_over(o.CANDIDATES + _RULES, "SELECT * FROM rules"))
+def tune_rules(c: Context) -> DataFrame:
+    return decide.tune_rules(c.scored, c.counts)
+
+
+@query(_over(o.CANDIDATES + _RULES, "SELECT mode, excl, t, t1, f05 FROM (SELECT *, row_number() OVER (PARTITION BY mode, excl ORDER BY f05 DESC, t, t1) AS rr FROM rules) WHERE rr = 1"))
+def best_rules(c: Context) -> DataFrame:
+    return decide.best_of_each_mode(decide.tune_rules(c.scored, c.counts))
+
+
+@query(_over(o.NORM + _SPLIT, "SELECT DISTINCT country_n FROM val WHERE country_n <> 'france'"))
+def labelled_countries(c: Context) -> DataFrame:
+    return c.labelled
+
+
+@query(_over(o.CANDIDATES + _SPLIT, "SELECT DISTINCT t.s1_id FROM truth t WHERE t.cand_id IN (SELECT cand_id FROM scored WHERE p >= 0.05 AND s1_id IN (SELECT entity_id FROM val)) AND t.s1_id NOT IN (SELECT entity_id FROM val)"))
+def competitor_owners(c: Context) -> DataFrame:
+    return groups.competitor_owners(c.scored, c.truth, c.val)
+
+
+@query(_over(o.CANDIDATES + """, h AS (SELECT country_n, s1_id, p, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) AS r FROM excl JOIN counts USING (s1_id)), ns AS (SELECT country_n, count(*) AS n FROM counts GROUP BY country_n),
+tg AS (SELECT sum(k) / sum(n) AS mk, 1 - sum(s) / sum(n) AS em FROM (SELECT country_n, count(*) AS k, count(*) FILTER (r = 1) AS s FROM h WHERE country_n <> 'france' AND p >= 0.5 GROUP BY country_n) JOIN ns USING (country_n)),
+g AS (SELECT CAST(t AS DOUBLE) AS t, CAST(t1 AS DOUBLE) AS t1 FROM (SELECT round(0.5 + 0.005 * i, 3) AS t FROM range(0, 99) r(i)), (VALUES (1.0), (0.5), (0.6), (0.7), (0.8)) v(t1) WHERE t1 = 1.0 OR t1 < t),
+tr AS (SELECT country_n, t, t1, count(*) AS k, count(*) FILTER (r = 1) AS s FROM h, g WHERE country_n = 'france' AND (p >= t OR (r = 1 AND p >= t1)) GROUP BY ALL),
+d AS (SELECT country_n, t, t1, round(abs(k / n - mk) / mk + abs(1 - s / n - em) / greatest(em, 1e-3), 9) AS gap FROM tr JOIN ns USING (country_n), tg)""", "SELECT country_n, t, t1, gap FROM (SELECT *, row_number() OVER (PARTITION BY country_n ORDER BY gap, t, t1) AS q FROM d) WHERE q = 1"))
+def prior_matched(c: Context) -> DataFrame:
+    rows = decide.exclusive(c.scored.filter("p >= 0.02")).join(c.counts.select("s1_id", "country_n"), "s1_id")
+    return decide.prior_matched(rows, c.s1, 0.5, c.labelled)
+
+
 @query(_over(o.CANDIDATES + """, pc AS (SELECT country_n, s1_id, p FROM excl JOIN counts USING (s1_id)), ns AS (SELECT country_n, count(*) AS n FROM counts GROUP BY country_n),
 ks AS (SELECT country_n, t, count(*) AS k FROM pc, (SELECT round(0.5 + 0.005 * i, 6) AS t FROM range(0, 99) r(i)) g WHERE p >= t GROUP BY ALL),
 tg AS (SELECT sum(k) / sum(n) AS target FROM ks JOIN ns USING (country_n) WHERE country_n IN ('us', 'india') AND t = 0.5),
 gap AS (SELECT country_n, t, round(abs(k / n - target), 9) AS d FROM ks JOIN ns USING (country_n), tg WHERE country_n NOT IN ('us', 'india'))""", "SELECT country_n, CAST(0.5 AS DOUBLE) AS t FROM ns WHERE country_n IN ('us', 'india') UNION ALL SELECT country_n, CAST(min(t) AS DOUBLE) FROM gap JOIN (SELECT country_n, min(d) AS d FROM gap GROUP BY country_n) USING (country_n, d) GROUP BY country_n"))
 def shape_matched(c: Context) -> DataFrame:
     rows = decide.exclusive(c.scored.filter("p >= 0.02")).join(c.counts.select("s1_id", "country_n"), "s1_id")
-    return decide.shape_matched(rows, c.s1, 0.5, ["us", "india"])
-
-
-_CITY = r"trim(regexp_replace(lower(coalesce(list_extract(string_split(business_address, ','), -2), '')), '\d', '', 'g'))"
-_BLOCKS = f", b0 AS (SELECT entity_id, country_n, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 1) AS b1, country_n || '|' || {_CITY} || '|' || substr(name_core, 1, 3) AS b3 FROM norm WHERE src = 'S1'), blocks AS (SELECT entity_id, country_n, CASE WHEN count(*) OVER (PARTITION BY b1) > 20 THEN b3 ELSE b1 END AS block FROM b0)"
+    return decide.shape_matched(rows, c.s1, 0.5, c.labelled)
 
 
 @query(_over(o.NORM + _BLOCKS, "SELECT * FROM blocks"))
@@ -407,17 +504,32 @@ def loss_buckets(c: Context) -> DataFrame:
     return metrics.loss_buckets(c.candidates, c.selected, c.truth)
 
 
-_CASES = ", cases AS (SELECT 'as_is' AS what, s1_id, label FROM selected UNION ALL SELECT 'no_fp', s1_id, label FROM selected WHERE label = 1 UNION ALL SELECT 'no_fn', s1_id, label FROM selected UNION ALL SELECT w, s1_id, label FROM (SELECT scored.* FROM scored ANTI JOIN selected USING (s1_id, cand_id) WHERE label = 1), (VALUES ('no_fn'), ('perfect_model')) v(w) UNION ALL SELECT 'perfect_model', s1_id, label FROM selected WHERE label = 1)"
+_CASES = ", cases AS (SELECT 'as_is' AS what, s1_id, label FROM selected UNION ALL SELECT 'no_fp', s1_id, label FROM selected WHERE label = 1 UNION ALL SELECT 'no_fn', s1_id, label FROM selected UNION ALL SELECT w, s1_id, label FROM (SELECT scored.* FROM scored ANTI JOIN selected USING (s1_id, cand_id) WHERE label = 1), (VALUES ('no_fn'), ('perfect_model')) v(w) UNION ALL SELECT 'perfect_model', s1_id, label FROM selected WHERE label = 1 UNION ALL SELECT 'perfect_blocking', s1_id, 1 FROM truth)"
 
 
-@query(_over(o.CANDIDATES + _CASES, "SELECT what, round(CAST(sum(CAST(CASE WHEN n_true = 0 AND n IS NULL THEN 1.0 ELSE round(1.25 * coalesce(tp, 0) / greatest(0.25 * n_true + coalesce(n, 0), 1e-9), 9) END AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS f05 FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts LEFT JOIN (SELECT what, s1_id, count(*) AS n, sum(label) AS tp FROM cases GROUP BY ALL) x USING (what, s1_id) GROUP BY what".replace("FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts LEFT JOIN", "FROM (SELECT * FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model')) v(what), counts) LEFT JOIN")))
+@query(_over(o.CANDIDATES + _CASES, "SELECT what, round(CAST(sum(CAST(CASE WHEN n_true = 0 AND n IS NULL THEN 1.0 ELSE round(1.25 * coalesce(tp, 0) / greatest(0.25 * n_true + coalesce(n, 0), 1e-9), 9) END AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS f05 FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model'), ('perfect_blocking')) v(what), counts LEFT JOIN (SELECT what, s1_id, count(*) AS n, sum(label) AS tp FROM cases GROUP BY ALL) x USING (what, s1_id) GROUP BY what".replace("FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model'), ('perfect_blocking')) v(what), counts LEFT JOIN", "FROM (SELECT * FROM (VALUES ('as_is'), ('no_fp'), ('no_fn'), ('perfect_model'), ('perfect_blocking')) v(what), counts) LEFT JOIN")))
 def loss_ablation(c: Context) -> DataFrame:
-    return metrics.loss_ablation(c.scored, c.selected, c.counts)
+    return metrics.loss_ablation(c.scored, c.selected, c.counts, c.truth)
 
 
-@query(_over(o.CANDIDATES, "SELECT CASE WHEN t.cand_id IS NULL THEN 'distractor' ELSE 'other_s1' END AS origin, count(*) AS n FROM selected s LEFT JOIN (SELECT DISTINCT cand_id FROM truth) t USING (cand_id) WHERE s.label = 0 GROUP BY 1"))
+@query(_over(o.CANDIDATES + _SPLIT, "SELECT CASE WHEN t.s1_id IS NULL THEN 'distractor' WHEN v.entity_id IS NULL THEN 'non_val_s1' ELSE 'other_val_s1' END AS origin, count(*) AS n, round(CAST(sum(CAST(p AS DECIMAL(9,6))) AS DOUBLE) / count(*), 6) AS mean_p FROM selected s LEFT JOIN truth t ON t.cand_id = s.cand_id LEFT JOIN val v ON v.entity_id = t.s1_id WHERE s.label = 0 GROUP BY 1"))
 def fp_origin(c: Context) -> DataFrame:
-    return metrics.fp_origin(c.selected, c.truth)
+    return metrics.fp_origin(c.selected, c.truth, c.val)
+
+
+@query(_over(o.CANDIDATES + ", bm AS (SELECT s1_id, count(*) AS n_bm FROM truth ANTI JOIN cands USING (s1_id, cand_id) GROUP BY s1_id)", "SELECT CASE WHEN n_true = 0 THEN 'singleton_fp' WHEN tp = 0 THEN 'no_tp' WHEN n_pred > tp THEN 'has_fp' WHEN coalesce(n_bm, 0) > 0 THEN 'block_miss_only' WHEN n_true > tp THEN 'model_fn_only' ELSE 'perfect' END AS category, count(*) AS n, round(CAST(sum(CAST(1 - f AS DECIMAL(18,9))) AS DOUBLE) / (SELECT count(*) FROM counts), 6) AS lost FROM perone LEFT JOIN bm USING (s1_id) GROUP BY 1"))
+def s1_loss_categories(c: Context) -> DataFrame:
+    return metrics.s1_categories(c.candidates, c.selected, c.counts, c.truth)
+
+
+@query(_over(o.CANDIDATES, "SELECT country_n, CAST(k AS BIGINT) AS k, round(count(*) / max(n), 6) AS share FROM (SELECT country_n, least(coalesce(n_pred, 0), 7) AS k, count(*) OVER (PARTITION BY country_n) AS n FROM perone) GROUP BY country_n, k"))
+def selection_histogram(c: Context) -> DataFrame:
+    return metrics.match_numbers(c.selected, c.s1)
+
+
+@query(_over(o.CANDIDATES, "SELECT country_n, round(count(*) FILTER (other > 0) / count(*), 6) AS changed, round(avg(coalesce(k_a, 0)), 6) AS k_a, round(avg(coalesce(k_b, 0)), 6) AS k_b FROM counts LEFT JOIN (SELECT s1_id, count(a) AS k_a, count(b) AS k_b, count(*) FILTER (a IS NULL OR b IS NULL) AS other FROM (SELECT s1_id, cand_id, 1 AS a FROM selected) FULL JOIN (SELECT s1_id, cand_id, 1 AS b FROM scored WHERE p >= 0.6) USING (s1_id, cand_id) GROUP BY s1_id) USING (s1_id) GROUP BY country_n"))
+def selection_change(c: Context) -> DataFrame:
+    return metrics.selection_change(c.selected, decide.threshold(c.scored, 0.6), c.s1)
 
 
 @query(_over(o.CANDIDATES, "SELECT * FROM (SELECT s1_id, cand_id, round((CAST(sum(CAST(p AS DECIMAL(9,6))) AS DOUBLE) + 0.01 * (2 - count(*))) / 2, 9) AS p FROM (SELECT s1_id, cand_id, p FROM scored UNION ALL SELECT s1_id, cand_id, p FROM excl) GROUP BY s1_id, cand_id) WHERE p >= 0.02"))
@@ -461,14 +573,46 @@ def audit_findings(c: Context) -> DataFrame:
     return audit.audit_id_lists(lists, "matched_entity_ids", c.raw_s1)
 
 
-_NOISE = ", ".join(f"round(avg(CAST(regexp_matches(business_name, '{p}') AS INT)), 6) AS name_{k}" for k, p in audit.NOISE.items())
+_RATE = "round(avg(CAST(regexp_matches({c}, '{p}') AS INT)), 6) AS {k}"
+_NOISE = ", ".join([*(_RATE.format(c="business_name", p=p, k=f"name_{k}") for k, p in audit.SCRIPTS.items()), *(_RATE.format(c="lower(business_name)", p=p, k=k) for k, p in audit.NAME_NOISE.items()), *(_RATE.format(c="business_address", p=p, k=k) for k, p in audit.ADDRESS_NOISE.items()), _RATE.format(c="business_address", p=audit.SCRIPTS["mojibake"], k="addr_mojibake"), _RATE.format(c="business_address", p=audit.SCRIPTS["devanagari"], k="addr_devanagari")])
 
 
-@query(_over(o.TABLES, f"SELECT substr(entity_id, 1, 2) AS src, count(*) AS n, count(DISTINCT entity_id) AS n_ids, round(avg(CAST(business_name = '' AS INT)), 6) AS empty_name, round(avg(CAST(business_address = '' AS INT)), 6) AS empty_address, round(avg(length(business_name)), 6) AS mean_name, round(avg(length(business_address)), 6) AS mean_address, {_NOISE} FROM er_all GROUP BY 1"))
+@query(_over(o.TABLES, f"SELECT substr(entity_id, 1, 2) AS src, count(*) AS n, count(DISTINCT entity_id) AS n_ids, round(avg(CAST(business_name = '' AS INT)), 6) AS empty_name, round(avg(CAST(business_address = '' AS INT)), 6) AS empty_address, round(avg(length(business_name)), 6) AS mean_name, round(avg(length(business_address)), 6) AS mean_address, round(avg(CAST(regexp_matches(business_name, '[^\\x00-\\x7F]') AS INT)), 6) AS non_ascii_name FROM er_all GROUP BY 1"))
 def profile_sources(c: Context) -> DataFrame:
     return audit.profile(c.raw)
 
 
+@query(_over(o.TABLES, f"SELECT substr(entity_id, 1, 2) AS src, count(*) AS n, {_NOISE} FROM er_all GROUP BY 1"))
+def noise_profile(c: Context) -> DataFrame:
+    return audit.noise_profile(c.raw)
+
+
+@query(_over(o.TABLES, "SELECT src, country, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, country) AS r FROM (SELECT substr(entity_id, 1, 2) AS src, country, count(*) AS n FROM er_all GROUP BY 1, 2)) WHERE r <= 10"))
+def top_countries(c: Context) -> DataFrame:
+    return audit.top_countries(c.raw)
+
+
+@query(_over(o.TABLES + ", per AS (SELECT s1_id, count(match_id) AS k, count(*) FILTER (match_id LIKE 'S2-%') AS k2 FROM er_gt GROUP BY s1_id), o AS (SELECT list_sort(list(k)) AS ks, count(*) AS n FROM per)", "SELECT count(*) AS n_s1, round(count(*) FILTER (k = 0) / count(*), 6) AS singleton_share, round(avg(k), 6) AS mean_k, (SELECT ks[CAST(floor((n - 1) * 0.5 + 0.5) AS INT) + 1] FROM o) AS p50, (SELECT ks[CAST(floor((n - 1) * 0.9 + 0.5) AS INT) + 1] FROM o) AS p90, (SELECT ks[CAST(floor((n - 1) * 0.99 + 0.5) AS INT) + 1] FROM o) AS p99, max(k) AS max_k, round(sum(k2) / sum(k), 6) AS s2_share FROM per"))
+def match_quantiles(c: Context) -> DataFrame:
+    return audit.match_quantiles(c.truth)
+
+
+@query(_over(o.TABLES + ", m AS (SELECT s1_id, substr(match_id, 1, 2) AS src, CAST(regexp_extract(s1_id, '(\\d+)$', 1) AS BIGINT) AS a, CAST(regexp_extract(match_id, '(\\d+)$', 1) AS BIGINT) AS b FROM er_gt WHERE match_id IS NOT NULL), g AS (SELECT *, b - lag(b) OVER (PARTITION BY s1_id, src ORDER BY b) AS gap FROM m)", "SELECT src, count(*) AS n, round(corr(a, b), 4) AS id_corr, round(avg(CAST(a % 1000 = b % 1000 AS INT)), 6) AS same_last3, round(count(*) FILTER (gap = 1) / nullif(count(gap), 0), 6) AS gap_1 FROM g GROUP BY src"))
+def leak_check(c: Context) -> DataFrame:
+    return audit.leak_check(c.truth)
+
+
+@query(_over(o.TABLES, """SELECT 'repeated_id' AS name, count(*) AS n_bad FROM (SELECT entity_id FROM er_all GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 's1_prefix', count(*) FROM er_s1 WHERE entity_id NOT LIKE 'S1-%' UNION ALL SELECT 'pool_prefix', count(*) FROM er_pool WHERE NOT regexp_matches(entity_id, '^S[23]-') UNION ALL SELECT 'truth_unknown_s1', count(DISTINCT s1_id) FROM er_gt WHERE s1_id NOT IN (SELECT entity_id FROM er_s1)
+UNION ALL SELECT 'truth_unknown_match', count(DISTINCT match_id) FROM er_gt WHERE match_id NOT IN (SELECT entity_id FROM er_pool) UNION ALL SELECT 's1_without_truth', count(*) FROM er_s1 WHERE entity_id NOT IN (SELECT s1_id FROM er_gt) UNION ALL SELECT 'shared_match', count(*) FROM (SELECT match_id FROM er_gt WHERE match_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s1_id) > 1)"""))
+def prep_invariants(c: Context) -> DataFrame:
+    return audit.prep_invariants(c.raw_s1, c.raw_pool, c.truth)
+
+
+@query(_over(o.CANDIDATES, "SELECT country_n, count(*) AS n_s1, round(avg(k), 6) AS matches_per_s1, round(avg(n), 6) AS cands_per_s1, round(count(*) FILTER (k = 0) / count(*), 6) AS empty_share, CAST(sum(k_out) AS BIGINT) AS n_outside, coalesce(max(n_shared), 0) AS n_shared FROM (SELECT country_n, s1_id, (SELECT count(*) FROM scored s WHERE s.s1_id = c.s1_id AND p >= 0.6) AS k, (SELECT count(*) FROM cands s WHERE s.s1_id = c.s1_id AND brank <= 5) AS n, (SELECT count(*) FROM (SELECT * FROM scored s WHERE p >= 0.6) s ANTI JOIN (SELECT * FROM cands WHERE brank <= 5) k USING (s1_id, cand_id) WHERE s.s1_id = c.s1_id) AS k_out FROM counts c) LEFT JOIN (SELECT country_n, count(*) AS n_shared FROM (SELECT country_n, cand_id FROM scored JOIN counts USING (s1_id) WHERE p >= 0.6 GROUP BY ALL HAVING count(*) > 1) GROUP BY country_n) USING (country_n) GROUP BY country_n"))
+def submission_audit(c: Context) -> DataFrame:
+    return audit.submission_audit(decide.threshold(c.scored, 0.6), c.candidates.filter("brank <= 5"), c.s1)
+
+
 @query(_over(o.TABLES, "SELECT CAST(least(k, 10) AS BIGINT) AS k, count(*) AS n FROM (SELECT s1_id, count(match_id) AS k FROM er_gt GROUP BY s1_id) GROUP BY 1"))
 def match_histogram(c: Context) -> DataFrame:
     return audit.match_histogram(c.truth)
@@ -521,7 +665,7 @@ def _learning(rows: DataFrame) -> DataFrame:
 
 @query()
 def matcher_scores(c: Context) -> DataFrame:
-    rows = metrics.labelled(pairs.build_features(c.reranked.select(*c.wide.columns), c.s1, c.pool), c.truth).persist()
+    rows = settled(metrics.labelled(pairs.build_features(c.reranked.select(*c.wide.columns, "rr", "rr_rank"), c.s1, c.pool), c.truth), "features")
     return learn.predict(learn.train_matcher(_learning(rows), pairs.FEATURES), rows, pairs.FEATURES).select("s1_id", "cand_id", "label", "p")
 
 
@@ -533,10 +677,47 @@ def reranker_scores(c: Context) -> DataFrame:
 @query()
 def stack_scores(c: Context) -> DataFrame:
     shares = c.candidates.select("s1_id", "cand_id", F.coalesce("bname_norm", F.lit(0.0)).alias("a"), F.coalesce("baddr_norm", F.lit(0.0)).alias("b"))
-    rows = metrics.labelled(shares, c.truth).persist()
+    rows = settled(metrics.labelled(shares, c.truth), "shares")
     return learn.stacked(learn.train_stacker(_learning(rows), ["a", "b"]), rows, ["a", "b"]).select("s1_id", "cand_id", "p")
 
 
+def _blocks(c: Context) -> DataFrame:
+    return groups.s1_blocks(c.s1, 20)
+
+
+@query()
+def stage2_scores(c: Context) -> DataFrame:
+    rows = _context(c).join(groups.stage2_consistency(_context(c), c.pool), ["s1_id", "cand_id"])
+    rows = settled(metrics.labelled(rows, c.truth), "stage2")
+    return learn.rescored(rows, folds=3)[0].select("s1_id", "cand_id", "label", "p2")
+
+
+def name_overlap(a: list[str], b: list[str]) -> list[float]:
+    """A second scorer that needs no weights: the Jaccard share of words."""
+    return [len(x & y) / max(1, len(x | y)) for x, y in ((set(s.split()), set(t.split())) for s, t in zip(a, b, strict=True))]
+
+
+def _second(c: Context) -> DataFrame:
+    return learn.second_scores(learn.band_texts(c.scored, c.s1, c.pool), name_overlap)
+
+
+@query(_over(o.CANDIDATES, "SELECT c.s1_id, c.cand_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS ce FROM (SELECT s1_id, cand_id, list_filter(string_split(f1 || ' | ' || a1, ' '), lambda t: t <> '') AS x, list_filter(string_split(f2 || ' | ' || a2, ' '), lambda t: t <> '') AS y FROM pairs) c JOIN scored USING (s1_id, cand_id) WHERE p >= 0.02 AND p < 0.995"))
+def second_scores(c: Context) -> DataFrame:
+    return _second(c).withColumn("ce", F.round("ce", 6))
+
+
+@query(_over(o.CANDIDATES, """, every AS (SELECT s1_id, cand_id, p, round(max(p) OVER w - p, 6) AS p_gap, count(*) FILTER (p >= 0.5) OVER w AS s1_nhi FROM scored WINDOW w AS (PARTITION BY s1_id)), band AS (SELECT e.*, bname_norm AS ce FROM every e JOIN cands USING (s1_id, cand_id) WHERE p >= 0.02 AND p < 0.995 AND bname_norm IS NOT NULL)
+SELECT s1_id, cand_id, round(ln(p / (1 - p)), 6) AS lp, ce, p_gap, rank() OVER (PARTITION BY s1_id ORDER BY ce DESC) + (count(*) OVER (PARTITION BY s1_id, ce) - 1) / 2.0 AS ce_rank, round(max(ce) OVER (PARTITION BY s1_id) - ce, 6) AS ce_gap, count(*) OVER (PARTITION BY s1_id) AS n_band, s1_nhi FROM band""").replace(")} , every", "), every").replace(" , every", ", every"))
+def scorer_context(c: Context) -> DataFrame:
+    second = c.candidates.filter("bname_norm IS NOT NULL").select("s1_id", "cand_id", F.col("bname_norm").alias("ce"))
+    return groups.scorer_context(c.scored, second).select("s1_id", "cand_id", "lp", "ce", "p_gap", "ce_rank", "ce_gap", "n_band", "s1_nhi")
+
+
+@query()
+def restacked_scores(c: Context) -> DataFrame:
+    return learn.restacked(c.scored, _second(c), _blocks(c), folds=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,4 +1,4 @@
-"""Every query with SQL equals DuckDB's result; the others run."""
+"""Every query with SQL equals DuckDB's result; the others run, and are held against plain Python elsewhere."""
 
 import os
 
@@ -17,4 +17,4 @@ def test_query(spark, name):
     if sql:
         compare(df, sql, SF)
     else:
-        assert df.count() > 0
+        df.write.format("noop").mode("overwrite").save()  # every column is computed, which count() would not do

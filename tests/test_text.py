@@ -34,8 +34,24 @@ def test_addresses(apply):
 
 
 def test_scripts(apply):
-    assert apply(text.transliterate, "Ａｃｍé", "लिमिटेड", None)[::2] == ["acme", ""]
-    assert apply(text.transliterate, "राम")[0].isascii()
+    """Compatibility forms, accents, and letters of other scripts by their names, on the path that every name takes."""
+    assert apply(text.to_ascii, "Ａｃｍé ﬁrm", "राम", "किताब", "Москва", "Θήρα", "Łódź Øst", None, "ABC", "e\u0301") == ["acme firm", "raama", "kitaaba", "moskva", "thera", "lodz ost", "", "abc", "e"]
+    assert apply(text.name_full, "Москва Limited", "राम प्राइवेट")[0] == "moskva ltd"
+    assert all(x.isascii() and x for x in apply(text.name_full, "राम प्राइवेट लिमिटेड", "தமிழ் நாடு", "Ελλάδα"))
+    assert apply(text.norm_address, "१२ Москва Road")[0] == "12 moskva rd"
+
+
+def test_dictionary(spark):
+    """Indic words by position in true pairs: seen twice or more, and in half of the cases."""
+    latin = [("S1-1", "Ram Limited"), ("S1-2", "Ram Traders"), ("S1-3", "Raam Limited"), ("S1-4", "One two three"), ("S1-5", "Sita Limited")]
+    indic = [("S2-1", "राम, लिमिटेड"), ("S2-2", "राम Traders"), ("S2-3", "राम लिमिटेड"), ("S2-4", "एक दो"), ("S2-5", "सीता लिमिटेड।"), ("S3-9", "राम"), ("S3-8", "Plain name"), ("S3-7", None)]
+    records = lambda rows: spark.createDataFrame([(i, n, "x", "india") for i, n in rows], "entity_id string, business_name string, business_address string, country string")
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(1, 6)] + [("S1-6", None)], "s1_id string, match_id string")
+    found = text.learned_dictionary(records(latin), records(indic), truth)
+    assert {tuple(r) for r in found.collect()} == {("राम", "ram"), ("लिमिटेड", "limited")}
+    names = {r.entity_id: r.business_name for r in text.with_latin_names(records(indic), found).collect()}
+    assert names == {"S2-1": "ram limited", "S2-2": "ram Traders", "S2-3": "ram limited", "S2-4": "एक दो", "S2-5": "सीता limited", "S3-9": "ram", "S3-8": "Plain name", "S3-7": None}
+    assert {r.entity_id: r.name_full for r in text.normalised(records(indic), found).collect()}["S2-3"] == "ram ltd"
 
 
 def test_similarity_values():
