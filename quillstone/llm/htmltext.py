@@ -3,10 +3,12 @@
 A page is a sequence of tokens: elements, told apart by the containers they stand in, and text blocks. Over the
 distinct pages of a host every token has an occurrence vector (how often it is in each page), kept as two 64-bit sums so
 that equal vectors are found by an aggregation, however many pages a host has. Tokens with equal vectors form a class.
-The largest of those that occur once in most pages is the template's outermost one; other classes nest inside it by
-their containers' paths. The containers of that class bound the template's slots; the main slot is the innermost of them that holds most
-of the text outside menus, adverts and the like. Text blocks that belong to the outermost class themselves are template,
-and go. What remains of a page's main slot is its text.
+Classes whose tokens occur once a page, in `slot_support` of a host's pages or more, nest by the paths of their containers:
+one that all pages have, such as html and body, holds those of each of the host's page templates, and these hold the
+classes of parts that only some pages have. A class's containers bound its slots; its main slot is the innermost that
+holds most of what a page of the host has as text outside menus, adverts and the like. A page is read in the most telling
+and innermost of the main slots that it has just once. Text blocks of a class that `support` of the pages have are
+template, and go. What remains of a page's main slot is its text.
 
 Hosts with fewer than `least_pages` distinct pages, and pages that lack their host's main slot, are read by the element
 names alone. Null and empty html, and pages without text, give an empty string. Repeated rows each get their row. Broken
@@ -34,11 +36,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template textarea title iframe svg math".split())
 CONTAINERS = set("html head body main article section div nav header footer aside form ul ol dl table tbody thead tr td th figure details dialog menu fieldset".split())
 BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr figcaption summary address caption legend option".split())
-#: What is not an article, by element, by ARIA role and by the words of a class or id.
+#: What is not an article, by element, by ARIA role and by a whole name in a class or id: a kind of aside,
+#: with or without words of place before it and of layout after it, so that `related-posts` is one and `related-work` not.
 ASIDE = set("head nav footer aside form dialog menu button select".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|cookies?|consent|gdpr|newsletter|subscri\w+|promo\w*|sponsor\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus\w*|related|shar(?:e|ing)|social|widgets?|popup|modal|notices?|alerts?|login|signup|search|pagination|pager|toolbar|skip|tracking|hidden)(?:$|[\s_-])",
+    r"(?:(?:site|page|top|main|post|article|blog|global|left|right|bottom|primary|secondary|user|reader|mobile)[-_])*"
+    r"(?:ads?|advert\w*|adsense|banners?|cookies?|consent|gdpr|newsletter|subscribe|subscription|promos?|promotions?|sponsor(?:ed|s)?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus|related|share|sharing|social|widgets?|popup|modal|notices?|alerts?|login|signup|search|pagination|pager|toolbar|tracking|hidden)"
+    r"(?:[-_](?:ads?|box|bar|block|wrap|wrapper|container|list|area|slot|unit|banner|inner|top|bottom|left|right|header|footer|links?|menu|form|buttons?|icons?|posts?|panel|notice|message|thread|overlay|modal|popup|widgets?|nav|col|column|zone|placement|section|signup|\d+))*",
     re.I,
 )
 SITE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global)[_-])?header(?:$|\s)", re.I)
@@ -48,12 +53,14 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 
 @dataclass(frozen=True)
 class Extraction:
-    """least_pages: distinct pages from which a host's template is deduced. support: share of a
-    host's pages that have the template. share: of a host's text outside menus and
-    the like that its main slot holds at least. broadcast_hosts: up to which the templates go to every executor."""
+    """least_pages: distinct pages from which a host's template is deduced. support: share of a host's pages that have a
+    text block of the template; slot_support: that have a class whose containers may be the main slot. share: of a page's
+    text outside menus and the like that its main slot holds at least, on average. broadcast_hosts: up to which the
+    templates go to every executor."""
 
     least_pages: int = 5
     support: float = 0.5
+    slot_support: float = 0.2
     share: float = 0.7
     broadcast_hosts: int = 20_000
 
@@ -74,7 +81,7 @@ class Page:
         in_article = bool(re.search(r">(?:article|main)\b", self.paths[up]))
         aside = (
             name in ASIDE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-            or bool(NAMES.search(named)) or (not in_article and (name == "header" or bool(SITE_HEADER.search(named))))
+            or any(map(NAMES.fullmatch, named.split())) or (not in_article and (name == "header" or bool(SITE_HEADER.search(named))))
         )
         label = ".".join(found.get("class", "").split()[:2])
         self.paths.append(f"{self.paths[up]}>{name}" + (f".{label}" if label else ""))
@@ -124,10 +131,11 @@ class Page:
             out[i] = i == container or (i > 0 and out[self.parent[i]])
         return out
 
-    def text(self, main: str | None, template: set[int]) -> str:
-        """Blocks of the main slot (its path; None: by element names), without asides and template blocks."""
-        at = [i for i, p in enumerate(self.paths) if p == main] if main is not None else []
-        if len(at) != 1:
+    def text(self, slots: list[str], template: set[int]) -> str:
+        """Blocks of the first of the slots (their paths) that the page has just once, or else of what element names tell,
+        without asides and template blocks."""
+        at = next(([self.paths.index(s)] for s in slots if self.paths.count(s) == 1), [])
+        if not at:
             at = next((x for tag in ("article", "main") if (x := [i for i, p in enumerate(self.paths) if re.search(rf">{tag}(?:\.[^>]*)?$", p) and not self.aside[i]])), [0])
         within = [any(x) for x in zip(*(self.inside(a) for a in at), strict=True)]
         left = [(c, t) for c, t in self.blocks if within[c] and not self.aside[c]]
@@ -180,7 +188,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, p: Extraction) -> DataFrame:
-    """host, main (path), boilerplate (hashes of text blocks in the outermost class), for hosts with enough pages.
+    """host, slots (paths of the classes' main slots, best first), boilerplate (hashes of template text blocks), for hosts
+    with enough pages.
 
     A page that occurs several times adds the same to the vectors of all its tokens, so equal vectors stay equal.
     """
@@ -190,15 +199,16 @@ def templates(pages: DataFrame, p: Extraction) -> DataFrame:
     vector = {"v1": F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))), "v2": F.sum(F.shiftrightunsigned(mark, 32))}
     tokens = occurrences(keyed).groupBy("host", "token").agg(F.max("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"), F.sum("chars").alias("chars"), *(v.alias(k) for k, v in vector.items()))
     tokens = stored(tokens.filter("pages > 1"), "tokens")
-    whole = tokens.filter(F.col("token") == hashes([""])[0]).join(enough, "host").select("host", F.col("pages").alias("all_pages"))
-    once = tokens.filter("occurrences = pages").join(whole, "host").filter(F.col("pages") >= p.support * F.col("all_pages"))
-    classes = once.groupBy("host", "v1", "v2").agg(F.count("*").alias("size"), F.max("pages").alias("pages"), F.max("chars").alias("all_chars"))
-    largest = classes.groupBy("host").agg(F.max(F.struct("size", "pages", "v1", "v2", "all_chars")).alias("c")).select("host", "c.v1", "c.v2", "c.all_chars")
-    outer = once.join(largest, ["host", "v1", "v2"])
+    whole = tokens.filter(F.col("token") == hashes([""])[0]).join(enough, "host").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    once = tokens.filter("occurrences = pages").join(whole, "host").filter(F.col("pages") >= p.slot_support * F.col("all_pages"))
     named = F.when(F.col("path").rlike(r">article(?:\.[^>]*)?$"), 2).when(F.col("path").rlike(r">main(?:\.[^>]*)?$"), 1).otherwise(0)
-    slot = (F.col("path") != "") & (F.col("chars") >= p.share * F.col("all_chars"))
+    # The text that so many pages have on average is held against what lies in the container on them.
+    slot = (F.col("path") != "") & (F.col("chars") * F.col("all_pages") >= p.share * F.col("all_chars") * F.col("pages"))
     rank = F.when(slot, F.struct(named.alias("named"), F.size(F.split("path", ">")).alias("depth"), "path"))
-    return outer.groupBy("host").agg(F.max(rank)["path"].alias("main"), F.collect_list(F.when(F.col("path") == "", F.col("token"))).alias("boilerplate"))
+    template = F.when((F.col("path") == "") & (F.col("token") != hashes([""])[0]) & (F.col("pages") >= p.support * F.col("all_pages")), F.col("token"))
+    classes = once.groupBy("host", "v1", "v2").agg(F.max(rank).alias("slot"), F.collect_list(template).alias("texts"))
+    by_host = classes.groupBy("host").agg(F.sort_array(F.collect_set("slot"), asc=False).alias("slots"), F.flatten(F.collect_list("texts")).alias("boilerplate"))
+    return by_host.select("host", F.col("slots.path").alias("slots"), "boilerplate")
 
 
 def extract_text(pages: DataFrame, p: Extraction | None = None) -> DataFrame:
@@ -210,8 +220,8 @@ def extract_text(pages: DataFrame, p: Extraction | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html"):
-            out = [Page(source).text(main, set(drop or ())) for source, main, drop in zip(*(part.column(c).to_pylist() for c in ("html", "main", "boilerplate")), strict=True)]
+            out = [Page(source).text(slots or [], set(drop or ())) for source, slots, drop in zip(*(part.column(c).to_pylist() for c in ("html", "slots", "boilerplate")), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     known = F.broadcast(found) if size.hosts <= p.broadcast_hosts and size.blocks <= 10 * p.broadcast_hosts else found
-    return rows.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "main", "boilerplate").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "slots", "boilerplate").mapInArrow(run, "page_id long, url string, text string, n_chars long")

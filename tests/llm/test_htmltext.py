@@ -32,7 +32,27 @@ def test_template_of_a_host(spark):
 
 
 def test_small_hosts_are_read_by_element_names():
-    assert Page(page(1)).text(None, set()).startswith("Head 1\nFirst 1 <b> bold text more\nSecond 1")
+    assert Page(page(1)).text([], set()).startswith("Head 1\nFirst 1 <b> bold text more\nSecond 1")
+
+
+def test_names_of_layout_and_names_of_content():
+    """Parts of an article whose name merely has a word of layout in it stay; its asides go."""
+    kept = ["search-algorithms", "related-work", "share-prices", "alert-systems", "navigation-history", "comment-culture", "header-files"]
+    gone = ["related-posts", "share", "social-links", "post-comments", "ad", "advertisement", "cookie-banner", "sidebar-left", "newsletter-signup"]
+    parts = "".join(f"<section id='{n}'><p>{n} text</p></section><div class='x {n}'>{n} more</div>" for n in kept + gone)
+    assert Page(f"<body><article><h1>Title</h1>{parts}</article></body>").text([], set()).split("\n") == ["Title", *(x for n in kept for x in (f"{n} text", f"{n} more"))]
+
+
+def test_two_templates_of_a_host(spark):
+    """Neither is on half of the pages; a block that most pages of both have is template, one that a few have is text."""
+    one = "<html><body><div class=top><a>Home</a></div><div class=story><h1>S{i}</h1><p>{t} s{i}</p><p>Read on</p><p>{m}</p></div><div class=more><p>Latest {i}</p></div></body></html>"
+    two = "<html><body><div class=top><a>Home</a></div><table class=list><tr><td><div class=entry><p>{t} e{i}</p><p>Read on</p></div></td></tr></table><div class=more><p>Latest {i}</p></div></body></html>"
+    words = "many words of a long and telling text " * 6
+    rows = [(i, "http://h/x", (one, two)[i % 2].format(i=i, t=words, m="rare" if i == 2 else f"m{i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        body = f"{words.strip()} e{i}" if i % 2 else f"S{i}\n{words.strip()} s{i}\n" + ("rare" if i == 2 else f"m{i}")
+        assert text == body, i
 
 
 def test_query(spark):
