@@ -4,7 +4,7 @@ Layout of a table: rows in ascending doc_id order, over files in ascending order
 start_in_part, n_tokens and ids. Spark's Parquet writer gives every page a column index and an offset index, so a range
 of doc_id reads only its pages, and reading lengths touches no page of ids.
 
-Null and empty texts are one end id. Rows of the same doc_id are neighbours, ordered by their text's hash. An empty
+Null and empty texts are one end id. Rows of the same doc_id are neighbours, in the order in which they are read. An empty
 table is an empty file set that reads back with no rows.
 """
 
@@ -60,7 +60,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, layout: TokenF
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
             before += int(ends[-1])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    # The range bounds are drawn from doc_id and row numbers alone: texts are read once, and equal or null ids still spread.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(run, SCHEMA).write.options(**(layout or TokenFileFormat()).options()).parquet(path)
 
