@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrays import chunks, covered, inside, mix, rolling, string_hashes, texts, word_hashes, words
+from quillstone.llm.arrays import chunks, covered, inside, mix, rolling, string_hashes, texts, words
 from quillstone.llm.shared import release, stored
 
 NO_LANG = ""
@@ -107,14 +107,27 @@ def blocks(points: np.ndarray, size: np.ndarray, order: int) -> Iterator[tuple[n
 
 def distinct_grams(piece: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, symbols (n x order) and counts of the distinct n-grams that end at the given positions."""
-    hashed, first, n = np.unique(gram_hashes(piece, order, np.uint64(0))[at], return_index=True, return_counts=True)
-    return hashed, piece[at[first][:, None] + np.arange(1 - order, 1)], n
+    hashed = gram_hashes(piece, order, np.uint64(0))[at]
+    one, begin, own = runs_of(hashed)
+    return own, piece[at[one][:, None] + np.arange(1 - order, 1)], np.diff(begin)
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct value, in ascending order: a place of it, where its run in the sorted order begins (and the end of
+    the last run), and the value."""
+    order = np.argsort(values)
+    held = values[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(held)), bool), held[1:] != held[:-1]]))
+    return order[begin], np.append(begin, len(held)), held[begin]
 
 
 def _merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(held) == 1:
+        return held[0]
     hashed, grid, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    hashed, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-    return hashed, grid[first], np.bincount(inverse, weights=n).astype(np.int64)
+    order = np.argsort(hashed)
+    one, begin, own = runs_of(hashed)
+    return own, grid[one], np.add.reduceat(n[order], begin[:-1]) if len(own) else n
 
 
 def gram_counts(docs: DataFrame, p: QualityRules) -> DataFrame:
@@ -182,7 +195,8 @@ def rule_counts(column: pa.Array, p: QualityRules) -> tuple[np.ndarray, ...]:
         lines.append(sum(n - 1 for line, n in seen.items() if n > 1 and line.strip(" \t\n\x0b\x0c\r")))
     k = p.repeat_window
     at = np.flatnonzero(inside(offsets, k, len(flat)))
-    runs = rolling(word_hashes(flat, 31), k)[at]
+    codes = flat.dictionary_encode().indices.to_numpy().astype(np.uint64)
+    runs = rolling(mix(codes), k)[at]
     own = mix(runs ^ mix(doc[at].astype(np.uint64)))
     order = np.argsort(own)
     same = own[order][1:] == own[order][:-1]
@@ -267,7 +281,8 @@ def measured(docs: DataFrame, p: QualityRules) -> DataFrame:
     level = stored(gram_counts(docs, p), "grams")
     known = stored(gram_probabilities(level, p), "probabilities")
     release(level)
-    model = list(map(docs.sparkSession.sparkContext.broadcast, model_blocks(known, p)))
+    model = map(docs.sparkSession.sparkContext.broadcast, model_blocks(known, p))
+    held, following = next(model), next(model, None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.lit(0.0).alias("log_p"))
 
     def added(held):
@@ -280,12 +295,14 @@ def measured(docs: DataFrame, p: QualityRules) -> DataFrame:
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            total, count = log_probability(part, model[-1].value, p.order)
+            total, count = log_probability(part, held.value, p.order)
             counts = map(pa.array, rule_counts(part.column("text"), p))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *counts, pa.array(count), pa.array(part.column("log_p").to_numpy() + total)], [f.split()[0] for f in COUNTED.split(", ")])
 
-    for held in model[:-1]:  # stored in between, so that a worker holds one block
+    while following is not None:  # stored in between, so that a worker holds one block
         rows = stored(rows.mapInArrow(added(held), rows.schema), "summed", compression="zstd")
+        held.destroy()
+        held, following = following, next(model, None)
     scored = rows.mapInArrow(last, COUNTED)
     return scored.withColumn("log_perplexity", F.round(-F.col("log_p") / F.nullif("n_symbols_scored", F.lit(0)), 6)).drop("log_p")
 
