@@ -9,8 +9,8 @@
    that join two components of the task leave it, so a group of copies never becomes a row per pair.
 
 A shingle is a run of `words` words (A-Z lower-cased); a text with fewer is one shingle; one without words, or null, is
-linked with nothing. Rows that repeat a doc_id are one node of the graph. A null doc_id has no component and is kept.
-Empty tables give no rows. Hot buckets meet in AQE-split sort-merge joins after map-side aggregation.
+linked with nothing. Rows that repeat a doc_id are one node of the graph, whatever their texts. A null doc_id links
+nothing: its component is the smallest doc_id with its text, or null, and it is kept. Empty tables give no rows. Hot buckets meet in AQE-split sort-merge joins after map-side aggregation.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from quillstone.llm.shared import stored
 @dataclass(frozen=True)
 class NearDuplicates:
     """percent: least similarity of a link, in hundredths. rows x bands hashes: a pair at 0.85 shares no band with a
-    probability of (1 - 0.85**7)**32 = 4e-6. miss: probability at which a comparison is given up. batch: hashes of one
+    probability of (1 - 0.85**7)**32 = 4e-6; at 0.8, five rows to a band make it (1 - 0.8**5)**32 = 3e-6. miss: probability at which a comparison is given up. batch: hashes of one
     step. block: documents of a cluster that one task compares with as many others."""
 
     words: int = 3
@@ -178,6 +178,11 @@ class _Forest:
 def block_links(doc_id: list, block: np.ndarray, column: pa.Array, p: NearDuplicates) -> list[tuple]:
     """Links between documents of two blocks (or within one) that join two components of what is given."""
     value, count = shingles(column, p.words)
+    if not count.all():  # of rows that repeat a doc_id, some may be without words
+        full = np.flatnonzero(count > 0)
+        doc_id, block, count = [doc_id[i] for i in full], block[full], count[full]
+        if not len(full):
+            return []
     signature = signatures(value, count, p)
     keys = band_keys(signature, p)
     begin = np.cumsum(count) - count
@@ -232,16 +237,29 @@ def links_of(blocks: DataFrame, p: NearDuplicates) -> DataFrame:
     return blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
+def classes(known: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, first: of each row, the smallest doc_id with its shingle set; its own without words.
+
+    Only sets that occur twice or more are joined, and as a table of their own, so that both sides are dealt afresh and
+    AQE splits a set that very many rows share."""
+    sizes = known.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    shared = stored(sizes.filter("n > 1").select("fingerprint", "least"), "classes")
+    rows = known.select("doc_id", "n_shingles", "fingerprint").join(shared.hint("merge"), "fingerprint", "left")
+    return stored(rows.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("first")), "members")
+
+
 def near_duplicates(docs: DataFrame, p: NearDuplicates | None = None) -> DataFrame:
     """doc_id, text -> a row per document: doc_id, n_shingles, component_id, kept."""
     p = p or NearDuplicates()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stored(sets(docs, p), "sets", compression="lz4")
-    classes = known.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    members = stored(known.select("doc_id", "n_shingles", "fingerprint").join(classes, "fingerprint", "left").select("doc_id", "n_shingles", "first"), "members")
+    members = classes(known)
     firsts = members.filter("doc_id = first").select("doc_id").distinct()
     near = stored(clusters(known.select("doc_id", "bands").join(firsts, "doc_id", "left_semi")), "clusters")
-    links = stored(links_of(blocked(docs, near, p), p), "links")
-    joined = connected_components(links).select(F.col("node").alias("first"), "component")
-    component = F.coalesce("component", "first", "doc_id")
+    links = links_of(blocked(docs, near, p), p)
+    # Rows of one doc_id with different sets link the classes of those.
+    several = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("z")).filter("a < z").select("doc_id", "a")
+    same = members.join(several, "doc_id").filter("first <> a").select("a", F.col("first").alias("b"))
+    joined = connected_components(stored(links.unionAll(same), "links")).select(F.col("node").alias("first"), "component")
+    component = F.coalesce("component", "first")
     return members.join(joined, "first", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
