@@ -33,7 +33,7 @@ def test_stages_against_plain_versions(spark):
             scores = score(docs, fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), Toxicity()))
             assert set(after) == {r.doc_id for r in scores.collect() if r.score < 0.7}
         elif name == "near_duplicates":
-            assert set(after) == {i for i, _, c, _ in components([(i, r.text) for i, r in before.items()]) if i == c}
+            assert set(after) == {i for i, _, c, _ in components([(i, r.text) for i, r in before.items()], 5, 80) if i == c}
         elif name == "decontamination":
             assert set(after) == {i for i, _, hit, _ in contaminated([(i, r.text) for i, r in before.items()], items) if not hit}
         if name == "secrets":
@@ -53,3 +53,11 @@ def test_run_and_edges(spark):
         out = stage(spark, docs, SF)
         assert {r.doc_id for r in out.collect()} == {1, 2, 3, None}, name
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_one_row_of_a_group_stays(spark):
+    prose = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, prose), (9, prose), (4, prose + " x"), (None, prose), (None, prose), (6, "a b c d e f"), (6, "g h i j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(1 AS LONG) AS n_chars")
+    out = corpus_pipeline.near_duplicate_removal(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == [4, 6] and sum(r.doc_id is None for r in out) == 2
