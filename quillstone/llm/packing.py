@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillstone.llm.arrays import chunks, mix
-from quillstone.llm.shared import stored
+from quillstone.llm.shared import bytes_of, stored
 from quillstone.llm.tokens import TOKENIZER_BYTES, piece_tokenizer
 
 
 @dataclass(frozen=True)
 class Packing:
-    """bits: of each dimension on the curve; span: projected values beyond it count as it; buckets: hashed features."""
+    """bits: of each dimension on the curve; span: projected values beyond it count as it; buckets: hashed
+    features; range_bytes: of stored ids in a range, so that their number follows the input."""
 
     tokenizer: str
     length: int = 1024
@@ -35,6 +36,7 @@ class Packing:
     span: float = 3.0
     buckets: int = 2048
     seed: int = 7
+    range_bytes: int = 16 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -138,5 +140,5 @@ def pack(docs: DataFrame, p: Packing, with_ids: bool = False) -> DataFrame:
 
     # Written first: range bounds come from a sample of its small columns instead of a second encoding of all texts.
     rows = stored(encoded(docs, p), "encoded", compression="zstd")
-    order = ("key", "doc_id", "row")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    order, ranges = ("key", "doc_id", "row"), max(rows.sparkSession.sparkContext.defaultParallelism, -(-bytes_of(rows) // p.range_bytes))
+    return rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
