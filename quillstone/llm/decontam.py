@@ -7,7 +7,7 @@ begun from the shortest list. A proximity match asks only that all its terms lie
 Postings stay with their document, so the corpus is never shuffled; what moves is one row per matched window.
 
 Null and empty texts have no words. An item of fewer words than a window is one window; an item without words is never
-found. Repeated documents and items each count. Empty tables give no hits. Columns other than the ids and texts are not
+found. An item without an id is hit like others, but not listed. Repeated documents and items each count. Empty tables give no hits. Columns other than the ids and texts are not
 looked at. Texts of any length are one row until their few postings leave them.
 """
 
@@ -105,7 +105,7 @@ def matches(index: DataFrame, anchors: DataFrame, n_anchors: int, p: Decontamina
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, p: Decontamination | None = None) -> DataFrame:
-    """A row per document: n_words, n_hit, the sorted ids of the items found exactly, and how many are found or near."""
+    """A row per document: n_words, n_hit, the sorted ids of the items found exactly, those found or near, and their number."""
     p = p or Decontamination()
     docs = docs.select("doc_id", "text")
     windows = benchmark_windows(items, p)
@@ -121,8 +121,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Decontamination | None =
     places = F.filter(F.collect_set(F.struct("start", "n_terms")), lambda s: s["start"].isNotNull())
     spread = F.flatten(F.transform("places", lambda s: F.sequence(s["start"], s["start"] + s["n_terms"] - 1)))
     unique = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
-    hits = found.groupBy("row").agg(places.alias("places"), unique(F.collect_list(F.when(F.col("start").isNotNull(), F.col("items")))).alias("items"), F.size(unique(F.collect_list("items"))).cast("long").alias("n_near"))
-    hits = hits.select("row", F.size(F.array_distinct(spread)).cast("long").alias("n_hit"), "items", "n_near")
+    hits = found.groupBy("row").agg(places.alias("places"), unique(F.collect_list(F.when(F.col("start").isNotNull(), F.col("items")))).alias("items"), unique(F.collect_list("items")).alias("near_items"))
+    hits = hits.select("row", F.size(F.array_distinct(spread)).cast("long").alias("n_hit"), "items", "near_items")
     joined = index.select("row", "doc_id", "n_words").join(hits, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return joined.select("doc_id", "n_words", zero("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), zero("n_near"))
+    none = F.array().cast("array<string>")
+    near = F.coalesce("near_items", none)
+    return joined.select("doc_id", "n_words", zero("n_hit"), F.coalesce("items", none).alias("items"), near.alias("near_items"), F.size(near).cast("long").alias("n_near"))

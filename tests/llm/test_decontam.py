@@ -45,8 +45,15 @@ def test_against_brute_force(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "two one extra three"), (2, "one two far far far three")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate(docs, items, Decontamination(window=3, slop=1)).collect()}
-    assert got == {1: (0, 1), 2: (0, 0)}
+    got = {r.doc_id: (r.n_hit, r.near_items, r.n_near) for r in decontaminate(docs, items, Decontamination(window=3, slop=1)).collect()}
+    assert got == {1: (0, ["1"], 1), 2: (0, [], 0)}
+
+
+def test_item_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (None, "three one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (3, "one two three")], "item_id long, text string")
+    rows = lambda kept: {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, kept).collect()}
+    assert rows(items) == {1: (3, ["3"]), None: (0, [])} and rows(items.filter("item_id IS NULL"))[1] == (3, [])
 
 
 def test_query_equals_sql(spark):
