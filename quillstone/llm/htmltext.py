@@ -3,9 +3,9 @@
 A page is a sequence of tokens: elements, told apart by the containers they stand in, and text blocks. Over the
 distinct pages of a host every token has an occurrence vector (how often it is in each page), kept as two 64-bit sums so
 that equal vectors are found by an aggregation, however many pages a host has. Tokens with equal vectors form a class.
-Classes whose tokens occur once a page, in `slot_support` of a host's pages or more, nest by the paths of their containers:
-one that all pages have, such as html and body, holds those of each of the host's page templates, and these hold the
-classes of parts that only some pages have. A class's containers bound its slots; its main slot is the innermost that
+Classes whose tokens occur once a page, in `slot_support` of a host's pages or more, lie in each other by the paths of their
+containers: one that all pages have, such as html and body, around those of each of the host's page templates, and these
+around the classes of parts that only some pages have. No tree of them is built; the depth of a path stands for it. A class's containers bound its slots; its main slot is the innermost that
 holds most of what a page of the host has as text outside menus, adverts and the like. A page is read in the most telling
 and innermost of the main slots that it has just once. Text blocks of a class that `support` of the pages have are
 template, and go. What remains of a page's main slot is its text.
