@@ -24,3 +24,9 @@ def test_models_take_the_wide_candidates(spark):
     assert kept.agg(F.max("rr_rank")).first()[0] > 16
     assert kept.join(found["wide_candidates"](spark, SF), ["s1_id", "cand_id"], "left_anti").count() == 0
     assert found["matcher_scores"](spark, SF).count() == kept.count()
+
+
+def test_the_reranker_keeps_no_texts(spark):
+    """Its tables hold a row for each of millions of pairs: keys, scores and similarities only."""
+    columns = registry.context(spark, SF).reranked.columns
+    assert not [c for c in columns if c.startswith(("name_", "addr", "postcode"))]
