@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrays import chunks
+from quillstone.llm.arrays import chunks, lean
 from quillstone.llm.decontam import decontaminate
 from quillstone.llm.minhash import NearDuplicates, near_duplicates
 from quillstone.llm.packing import Packing, pack
@@ -40,7 +40,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for part in chunks(batches, "text"):
             yield part.filter(pa.array(text_scores(part.column("text"), held.value)[0] < TOXIC_SCORE))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 #: Five words and 0.8, as no contract says otherwise; five hashes to a band, so that a pair at 0.8 shares none of the 32
@@ -76,7 +76,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
             n = [s if a == b else len(b) for a, b, s in zip(old, new, size, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(new, pa.string()), part.column("lang"), part.column("source"), pa.array(n, pa.int64())], part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

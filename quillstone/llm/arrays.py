@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,26 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
+def trim() -> None:
+    """Return freed memory to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError):  # it is glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of mapInArrow() that trims when a task ends: its worker waits for others, and the JVM's own stages that
+    follow would share the executor's memory with the most that a task took."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def texts(column: pa.Array) -> pa.Array:
     """Null texts as empty ones."""
     return pc.fill_null(column.cast(pa.string()), "")

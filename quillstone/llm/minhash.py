@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrays import chunks, mix, rolling, word_hashes, words
+from quillstone.llm.arrays import chunks, lean, mix, rolling, word_hashes, words
 from quillstone.llm.components import connected_components
 from quillstone.llm.shared import stored
 
@@ -139,7 +139,7 @@ def sets(docs: DataFrame, p: NearDuplicates) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n_shingles", "fingerprint", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
 def clusters(first: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def links_of(blocks: DataFrame, p: NearDuplicates) -> DataFrame:
             yield decided(held)
 
     order = ("cluster", "i", "j")
-    return blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(run), "a long, b long")
 
 
 def classes(known: DataFrame) -> DataFrame:

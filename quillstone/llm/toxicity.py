@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrays import chunks, mix, string_hashes, texts, words
+from quillstone.llm.arrays import chunks, lean, mix, string_hashes, texts, words
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def windows(offsets: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, n
 
 def cells(codes: np.ndarray, first: np.ndarray, size: np.ndarray, pad: int, p: Toxicity) -> np.ndarray:
     """Word codes of windows (n x window), `pad` beyond their ends."""
-    at = first[:, None] + np.arange(p.window)
+    at = first[:, None].astype(np.int32) + np.arange(p.window, dtype=np.int32)
     out = codes[np.minimum(at, max(len(codes) - 1, 0))] if len(codes) else np.full(at.shape, pad)
     return np.where(np.arange(p.window) < size[:, None], out, pad)
 
@@ -220,15 +220,15 @@ class Network:
 
 
 def encoded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct lower-cased words, the code of each word, and where each text's words begin."""
+    """Distinct lower-cased words, the code (32 bits) of each word, and where each text's words begin."""
     flat, offsets = words(pc.utf8_lower(texts(column)))
     coded = flat.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), offsets
+    return coded.dictionary, coded.indices.to_numpy(), offsets
 
 
 def log_odds(codes: np.ndarray, doc: np.ndarray, label: np.ndarray, n_words: int, p: Toxicity) -> np.ndarray:
     """Of each distinct word, by the documents that have it; 0 for those in fewer than p.least_df."""
-    pair = np.unique(codes * len(label) + doc)
+    pair = np.unique(codes.astype(np.int64) * len(label) + doc)
     word, doc = np.divmod(pair, len(label))
     ones = np.bincount(word, weights=label[doc], minlength=n_words)
     both = np.bincount(word, minlength=n_words)
@@ -343,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Network | float:
 
     # Trained in one executor task, not on the driver: the bounded sample is all that it holds. Without documents it is
     # the share of label 1.
-    trained = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "text").mapInArrow(run, "model binary").first()
+    trained = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "text").mapInArrow(lean(run), "model binary").first()
     return pickle.loads(trained[0]) if trained else prior
 
 
@@ -367,4 +367,4 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
         for part in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, text_scores(part.column("text"), held.value))], ["doc_id", "score", "n_windows"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_windows long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, n_windows long")
