@@ -73,3 +73,22 @@ def test_missing_inputs_are_marked():
     x = np.array([[1.0, np.nan], [np.nan, 2.0]])
     assert boost.ready(x, ["brank_name", "r_hn_eq"]).tolist() == [[1, -1], [-1, 2], [0, 1]]
     assert learn.RERANK_FEATURES == wide.INPUTS
+
+
+def test_features_join_once(spark):
+    """The anchors' votes and similarities start from the stored pairs, not from the joins of the other features."""
+    c = registry.context(spark, SF)
+    plan = pairs.build_features(c.candidates, c.s1, c.pool)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 10  # 26 if each starts from the joined rows
+
+
+def test_a_stored_table_is_learned_and_scored_in_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path))
+    n = F.col("id")
+    rows = spark.range(4000).select(F.concat(F.lit("S1-"), n).alias("s1_id"), n.cast("string").alias("cand_id"), (n % 7).alias("brank"), F.when(n % 3 > 0, n % 5).alias("hn_vote"), ((n % 7 > 3) & (n % 3 == 0)).cast("int").alias("label"))
+    features = ["brank", "hn_vote"]
+    model = boost.trained(rows, features, F.col("cand_id").cast("long") % 10 != 0)
+    out = boost.scored(model, rows, features)
+    assert out.columns == ["s1_id", "cand_id", "label", "p"] and out.count() == 4000
+    assert out.filter((F.col("p") > 0.5) != (F.col("label") == 1)).count() == 0
+    assert not list(Path(tmp_path).glob("bins*"))
